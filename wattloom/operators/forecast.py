@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattloom.operators.regress import fit_least_squares, linear_value
@@ -89,12 +90,17 @@ def predict_direct(models: DataFrame, test: DataFrame, keys: Sequence[str] = ("c
 
 def persistence_pairs(series: DataFrame, bases: DataFrame, next_times: int, keys: Sequence[str] = ("clust_id",),
                       value: str = "value") -> DataFrame:
-    """Per base b and horizon h the total at b - next_times + h and at b + h: base_pos, horizon, x, y."""
-    steps = bases.select(F.col("pos").alias("base_pos"), F.explode(F.sequence(F.lit(1), F.lit(next_times))).alias("horizon"))
+    """Per base b and horizon h the total at b - next_times + h and at b + h: base_pos, horizon, x, y.
+
+    The series has no gaps, so both totals meet in one window over the series.
+    """
+    along = W.partitionBy(*keys).orderBy("pos")
+    pairs = series.select(*keys, "pos", F.lag(value, next_times).over(along).alias("x"), F.col(value).alias("y"))
+    kept = [c for c in bases.columns if c == "role"]
+    steps = bases.select(
+        F.col("pos").alias("base_pos"), F.explode(F.sequence(F.lit(1), F.lit(next_times))).alias("horizon"), *kept)
     steps = steps.withColumn("pos", F.col("base_pos") + F.col("horizon"))
-    ahead = series.select(*keys, "pos", F.col(value).alias("y"))
-    back = series.select(*keys, (F.col("pos") + next_times).alias("pos"), F.col(value).alias("x"))
-    return ahead.join(back, [*keys, "pos"]).join(steps, "pos")
+    return pairs.where(F.col("x").isNotNull()).join(steps, "pos")
 
 
 def persistence_ratio(pairs: DataFrame, keys: Sequence[str] = ("clust_id",)) -> DataFrame:
@@ -108,6 +114,30 @@ def predict_persistence(ratios: DataFrame, pairs: DataFrame, keys: Sequence[str]
     return joined.select(*keys, "base_pos", "horizon", "pos", (F.col("ratio") * F.col("x")).alias("pred_val"))
 
 
+def descend_persistence(train: DataFrame, test: DataFrame, epochs: int, batches: int, every: int, rate: float,
+                        keys: Sequence[str] = ("clust_id",)) -> DataFrame:
+    """Forecasts of the ratio model at the evaluated batches of a gradient descent from zero.
+
+    A step moves the ratio by ``rate`` of the way to its least-squares value, so every iterate follows from
+    three sums per cluster and horizon. ``batch`` counts over all epochs; ``err_train`` is the mean squared
+    training error of the cluster at that batch.
+    """
+    keys = list(keys)
+    sums = train.groupBy(*keys, "horizon").agg(
+        F.sum(F.col("x") * F.col("y")).alias("_xy"), F.sum(F.col("x") * F.col("x")).alias("_xx"),
+        F.sum(F.col("y") * F.col("y")).alias("_yy"), F.count("*").alias("_n"))
+    counted = sums.withColumn("batch", F.explode(F.sequence(F.lit(every), F.lit(epochs * batches), F.lit(every))))
+    reached = F.lit(1.0) - F.pow(F.lit(1.0 - rate), F.col("batch"))
+    ratios = counted.withColumns({
+        "epoch": F.floor((F.col("batch") - 1) / batches).cast("int") + 1,
+        "ratio": F.try_divide("_xy", "_xx") * reached})
+    square = F.col("_yy") - 2 * F.col("ratio") * F.col("_xy") + F.col("ratio") * F.col("ratio") * F.col("_xx")
+    errors = ratios.groupBy(*keys, "epoch", "batch").agg((F.sum(square) / F.sum("_n")).alias("err_train"))
+    models = ratios.select(*keys, "horizon", "epoch", "batch", "ratio").join(errors, [*keys, "epoch", "batch"])
+    return test.join(models, [*keys, "horizon"]).select(
+        *keys, "epoch", "batch", "base_pos", "horizon", "pos", (F.col("ratio") * F.col("x")).alias("pred_val"), "err_train")
+
+
 def fourier_frequencies(width: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Fixed standard-normal directions (count x width) and phases of random Fourier features.
 

@@ -12,11 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCOPES = ("batch", "series", "channel")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _circular(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         out = []
@@ -40,7 +41,7 @@ def autocorrelation(a: Column, b: Column) -> Column:
     return _circular(a, b)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _sliding(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([np.correlate(x, y, mode="valid") for x, y in zip(a, b)])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wattloom.conf import ForecastConf
 from wattloom.operators.ordered import number_block, positions
+from wattloom.session import cut_lineage
 
 
 def in_season(time: Column, months: Sequence[int], season: str) -> Column:
@@ -72,11 +73,15 @@ def ranked(bases: DataFrame) -> DataFrame:
 
 def split_point(bases: DataFrame, conf: ForecastConf) -> DataFrame:
     """One row ``test_start``: the first midnight base whose quantile rank/(n-1) exceeds 1 - test_ratio."""
-    last = bases.agg((F.count("*") - 1).alias("last")).scalar()
+    return ranked_split_point(ranked(bases), conf)
+
+
+def ranked_split_point(bases: DataFrame, conf: ForecastConf) -> DataFrame:
+    last = bases.agg(F.max("_rank").alias("last")).scalar()
     quantile = F.try_divide(F.col("_rank").cast("double"), last.cast("double"))
     at = F.col(conf.time_flag_var)
     late = (quantile > 1 - conf.test_ratio) & (F.hour(at) == 0) & (F.minute(at) == 0)
-    return ranked(bases).where(late).agg(F.min("pos").alias("test_start"))
+    return bases.where(late).agg(F.min("pos").alias("test_start"))
 
 
 def period_roles(season: DataFrame, test_start: Column) -> DataFrame:
@@ -113,16 +118,23 @@ def bootstrap_bases(train: DataFrame, n_bases: int, ratio: float, seed: int = 0)
 
 
 class Split:
-    """Index sets of one configuration, all lazy."""
+    """Index sets of one configuration.
+
+    The ranked bases are computed once and written; everything else is a filter on them or on the season.
+    """
 
     def __init__(self, index: DataFrame, conf: ForecastConf, purge: bool = False):
         self.conf = conf
         self.season = season_index(index, conf)
-        self.bases = base_positions(self.season, conf.prev_times, conf.next_times)
-        self.start = split_point(self.bases, conf)
-        self.roles = period_roles(self.season, self.start.scalar())
-        self.train = train_bases(self.bases, self.start.scalar(), conf.next_times, purge)
-        self.test = test_bases(self.bases, self.start.scalar(), conf.next_times)
+        ranks = cut_lineage(ranked(base_positions(self.season, conf.prev_times, conf.next_times)))
+        self.bases = ranks.drop("_rank")
+        self.start = ranked_split_point(ranks, conf)
+        start = self.start.scalar()
+        self.roles = period_roles(self.season, start)
+        self.train = train_bases(self.bases, start, conf.next_times, purge)
+        late = ranks.where(F.col("pos") >= start - 1)
+        first = late.agg(F.min("_rank").alias("r")).scalar()
+        self.test = late.where((F.col("_rank") - first) % conf.next_times == 0).drop("_rank")
 
     def training_sample(self, seed: int = 0) -> DataFrame:
         if self.conf.train_sample_ratio >= 1:
