@@ -26,19 +26,15 @@ def epoch_seconds(time: Column) -> Column:
 
 
 def from_epoch_seconds(seconds: Column) -> Column:
-    days = F.floor(seconds / 86400)
-    rest = (seconds - days * 86400).cast("decimal(18,6)")
-    zero = F.lit(0)
-    return ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(days.cast("int"), zero, zero, rest)
-
-
-def floor_time(time: Column, step_seconds: int = 3600) -> Column:
-    """Round a timestamp down to a multiple of the step, counted from 1970-01-01 00:00."""
-    return from_epoch_seconds(F.floor(epoch_seconds(time) / step_seconds) * step_seconds)
+    return ntz(F.lit("1970-01-01 00:00:00")) + F.expr("interval 1 second") * seconds
 
 
 def step_index(time: Column, step_seconds: int) -> Column:
     """Number of whole steps since 1970-01-01 00:00: a grid position without any sort."""
+    days = F.datediff(time.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    for unit, part in ((86400, days), (3600, days * 24 + F.hour(time))):
+        if step_seconds % unit == 0:
+            return part if step_seconds == unit else F.floor(part / (step_seconds // unit))
     return F.floor(epoch_seconds(time) / step_seconds)
 
 
@@ -46,6 +42,11 @@ def step_time(index: Column, step_seconds: int) -> Column:
     return from_epoch_seconds(index * step_seconds)
 
 
+def floor_time(time: Column, step_seconds: int = 3600) -> Column:
+    """Round a timestamp down to a multiple of the step, counted from 1970-01-01 00:00."""
+    return step_time(step_index(time, step_seconds), step_seconds)
+
+
 def decode_code(code: Column) -> Column:
     """Start time of a code; ticks above 48 run past midnight, malformed codes give null."""
     day = F.substring(code, 1, 3).try_cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from wattloom.operators.windows import dot
 
+GRAM_COLUMNS = 2048
+
 
 def profiles(series: DataFrame, train: DataFrame, key: str = "meter_id", value: str = "value") -> DataFrame:
     """Per meter the array of log(value + 1) over the training positions, in position order.
@@ -28,14 +31,19 @@ def profiles(series: DataFrame, train: DataFrame, key: str = "meter_id", value:
 def reduce_pca(vectors: DataFrame, k: int = 2, column: str = "profile", out: str = "reduced") -> DataFrame:
     """Coordinates on the first k principal components.
 
-    The rows are centred and decomposed by a distributed SVD that returns k vectors only. Each component is
-    turned so that its largest loading is positive.
+    Short vectors: one pass adds up the products of the centred columns, a matrix of at most GRAM_COLUMNS
+    squared. Longer vectors: a distributed SVD that keeps k vectors only. Each component is turned so that its
+    largest loading is positive.
     """
     whole = vectors.withColumn("_v", array_to_vector(column))
     model = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(whole)
     centred = model.transform(whole)
-    rows = MLUtils.convertVectorColumnsFromML(centred.select("_c"), "_c")
-    loadings = RowMatrix(rows).computeSVD(k).V.toArray().T
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(centred.select("_c"), "_c"))
+    if model.mean.size <= GRAM_COLUMNS:
+        _, axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        loadings = axes[:, ::-1][:, :k].T
+    else:
+        loadings = matrix.computeSVD(k).V.toArray().T
     turned = [(v if v[abs(v).argmax()] > 0 else -v).tolist() for v in loadings]
     spark = vectors.sparkSession
     parts = spark.createDataFrame([(turned, model.mean.toArray().tolist())], "axes array<array<double>>, mean array<double>")

@@ -116,10 +116,10 @@ SUMMER = DAILY["summer"]
 
 @query("forecast_dlinear", forecast_sql(
     DAILY_TOTAL_SQL, split_sql(SUMMER), SUMMER.next_times, decomposed_features_sql(SUMMER.prev_times, 11),
-    2 * SUMMER.prev_times, 1.0, 1))
+    2 * SUMMER.prev_times, 1.0, -2))
 def forecast_dlinear(spark, sf):
     totals = cut_lineage(daily_series(spark, sf))
-    return result(forecast_model(totals, daily_split(spark, sf, "summer"), "dlinear"), totals, 1)
+    return result(forecast_model(totals, daily_split(spark, sf, "summer"), "dlinear"), totals, -2)
 
 
 def fourier_sql(width: int, count: int) -> str:

@@ -14,11 +14,18 @@ WEATHER_HEADER = (
 )
 
 
-def _cell_text(cell: Column) -> Column:
-    text = F.regexp_replace(cell, r"(?s)<[^>]*>", "")
-    for entity, plain in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+# Character references that tables use, ampersand last.
+ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+SEPARATOR = "\x01"
+
+
+def _cell_texts(cells: Column) -> Column:
+    """Visible text of all cells; they are cleaned together, one pass per page and not per cell."""
+    text = F.regexp_replace(F.array_join(cells, SEPARATOR), r"(?s)<[^>]*>", "")
+    for entity, plain in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    text = F.regexp_replace(text, r"[\s\u00a0]+", " ")
+    return F.transform(F.split(text, SEPARATOR), lambda c: F.trim(c))
 
 
 def html_cells(df: DataFrame, html: str, header: Sequence[str] = WEATHER_HEADER) -> DataFrame:
@@ -30,16 +37,15 @@ def html_cells(df: DataFrame, html: str, header: Sequence[str] = WEATHER_HEADER)
     width = len(header)
     raw = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), F.lit(1))
     kept = [c for c in df.columns if c != html]
-    cells = df.select(*kept, F.transform(raw, _cell_text).alias("_cells"))
+    cells = df.select(*kept, _cell_texts(raw).alias("_cells"))
     named = cells.select(
         *kept, "_cells", F.slice("_cells", 1, width).alias("_head"),
-        F.floor(F.size("_cells") / width).cast("int").alias("_rows"),
-    ).where(F.col("_rows") > 1)
-    rows = named.select(
-        *kept, "_head", "_cells",
-        F.explode(F.sequence(F.lit(1), F.col("_rows") - 1)).alias("row"),
-    )
+        F.floor(F.size("_cells") / width).cast("int").alias("_rows"))
+    # an outer explode, filtered afterwards: no filter moves below it, so pages are matched once
+    body = F.when(F.col("_rows") > 1, F.sequence(F.lit(1), F.col("_rows") - 1))
+    rows = named.select(*kept, "_head", "_cells", F.explode_outer(body).alias("row")).where(F.col("row").isNotNull())
     row = rows.select(*kept, "row", "_head", F.slice("_cells", F.col("row") * width + 1, F.lit(width)).alias("_row"))
+
     def cell(name: str) -> Column:
         return F.try_element_at("_row", F.nullif(F.array_position("_head", F.lit(name)).cast("int"), F.lit(0)))
 
