@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from wattloom.operators import forecast as fc
 from wattloom.operators.joins import attach_actuals
 from wattloom.operators.score import METRICS, forecast_errors, sum_clusters
+from wattloom.operators.series import cluster_totals, single_cluster
+from wattloom.operators.wide import forecast_meters
 from wattloom.plans.experiment import experiment_grid, ClusterSetup, forecast_model, with_calendar
 from wattloom.plans.inputs import (
     DAILY, DAILY_TOTAL_SQL, HOURLY, HOURLY_SPLIT_SQL, HOURLY_TOTAL_SQL, SEGMENT_TOTAL_SQL, daily_series, daily_split,
-    hourly_split, hourly_totals, split_sql)
+    hourly_series, hourly_split, hourly_totals, split_sql)
 from wattloom.plans.registry import query, rounded
 from wattloom.plans.score_queries import ERROR_SQL
 from wattloom.session import cut_lineage
@@ -137,6 +139,31 @@ def fourier_sql(width: int, count: int) -> str:
       UNION ALL SELECT DISTINCT grp, role, base, 0, 1.0 FROM raw)"""
 
 
+METER_RIDGE = 1.0
+
+
+def meter_features_sql(meters: int, flags: list[str]) -> str:
+    """Value of each meter, numbered by id, then the time variables; ``meters`` is the number at the checked scale."""
+    rows = " UNION ALL ".join(
+        f"SELECT 0 AS grp, role, b.pos AS base, {i} AS i, CAST({e} AS DOUBLE) AS x FROM b JOIN series s USING (pos)"
+        for i, e in [(0, "1"), *((meters + j, e) for j, e in enumerate(flags, 1))])
+    return f"""
+    feats AS (
+      SELECT 0 AS grp, role, b.pos AS base, m.rn AS i, f.value AS x
+      FROM b JOIN filled f USING (pos) JOIN (SELECT meter_id, row_number() OVER (ORDER BY meter_id) AS rn FROM (SELECT DISTINCT meter_id FROM filled)) m USING (meter_id)
+      UNION ALL {rows})"""
+
+
+@query("forecast_meters", forecast_sql(
+    HOURLY_TOTAL_SQL, HOURLY_SPLIT_SQL, 24, meter_features_sql(150, [*HOUR_CYCLE, *FLAGS]), 158, METER_RIDGE, 3))
+def forecast_from_meters(spark, sf):
+    series = cut_lineage(hourly_series(spark, sf))
+    totals, features = with_calendar(cut_lineage(cluster_totals(series)))
+    samples = fc.supervised(totals, hourly_split(spark, sf).base_roles(), HOURLY.next_times, features)
+    samples = cut_lineage(samples.withColumn("features", F.slice("features", 2, len(features))))
+    return result(forecast_meters(series, single_cluster(series), samples, METER_RIDGE), totals, 3)
+
+
 RBF_FEATURES = fixed_features_sql(LINEAR).replace("feats AS", "raw0 AS") + ", raw AS (SELECT * FROM raw0 WHERE i > 0), " \
     + fourier_sql(len(LINEAR), RBF_COUNT)
 
