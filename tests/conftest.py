@@ -10,7 +10,7 @@ from wattloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores=4, memory="4g", shuffle_partitions=4)
+    session = local_session(cores=4, memory="4g", shuffle_partitions=2)
     yield session
     session.stop()
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattloom.operators.components import components
-from wattloom.operators.joins import hot_join
+from wattloom.operators.joins import sized_join
 from wattloom.operators.ordered import number_block, positions
 from wattloom.session import cut_lineage
 
@@ -60,6 +60,8 @@ class _Grid:
         spots = points.groupBy(*self.xs).agg(F.count("*").alias("_w"))
         self.spots = cut_lineage(spots.withColumns(
             {c: F.floor(F.col(x) / self.side) for c, x in zip(self.cs, self.xs)}))
+        sizes = self.spots.groupBy(*self.cs).agg(F.count("*").alias("n"), F.max("_w").alias("w"))
+        self.largest, self.copies = (n or 0 for n in sizes.agg(F.max("n"), F.max("w")).first())
 
     def near(self) -> Column:
         square = sum(((F.col(q) - F.col(x)) * (F.col(q) - F.col(x)) for q, x in zip(self.qs, self.xs)), F.lit(0.0))
@@ -70,12 +72,12 @@ class _Grid:
         queries = asked.select(*[F.col(x).alias(q) for x, q in zip(self.xs, self.qs)],
                                _around(self.cs, _offsets(self.d), "_c").alias("_n"))
         queries = queries.select(*self.qs, "_n.*")
-        return hot_join(spots, queries, self.cs, self.xs).where(self.near())
+        return sized_join(spots, queries, self.cs, self.xs, self.largest).where(self.near())
 
     def core_flags(self) -> DataFrame:
         """Spots with ``core`` and ``crowded``, whether their own cell makes them core."""
         cells = self.spots.groupBy(*self.cs).agg((F.sum("_w") >= self.min_pts).alias("crowded"))
-        spots = hot_join(self.spots, cells, self.cs, self.xs)
+        spots = sized_join(self.spots, cells, self.cs, self.xs, self.largest)
         few = spots.where("not crowded")
         counted = self.neighbours(few, self.spots).groupBy(*self.qs).agg((F.sum("_w") >= self.min_pts).alias("_k"))
         counted = counted.withColumnsRenamed(dict(zip(self.qs, self.xs)))
@@ -171,7 +173,7 @@ def neighbour_counts(points: DataFrame, columns: Sequence[str], eps: float, min_
     """Whether each point is core, that is has min_pts points within eps, itself included: key, core."""
     named = points.select(key, *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(columns)])
     grid = _Grid(named, columns, eps, min_pts)
-    return hot_join(named, grid.core_flags().select(*grid.xs, "core"), grid.xs, key).select(key, "core")
+    return sized_join(named, grid.core_flags().select(*grid.xs, "core"), grid.xs, key, grid.copies).select(key, "core")
 
 
 def cluster_dbscan(points: DataFrame, columns: Sequence[str], eps: float, min_pts: int = 5,
@@ -185,18 +187,21 @@ def cluster_dbscan(points: DataFrame, columns: Sequence[str], eps: float, min_pt
     flags = grid.core_flags().withColumn("node", grid.node())
     core = flags.where("core").select(*grid.xs, *grid.cs, "node")
     roots = components(core.select("node").distinct(), grid.edges(core))
-    placed = cut_lineage(hot_join(core, roots.withColumnRenamed("root", "_root"), "node", grid.xs))
-    own = hot_join(named, placed.select(*grid.xs, "_root"), grid.xs, key)
-    firsts = own.groupBy("_root").agg(F.min(key).alias("_first"))
-    integral = dict(firsts.dtypes)["_first"] in ("int", "bigint", "smallint", "tinyint")
-    if integral:
+    # numbers are settled per cell, so no join or group runs over all points of a cluster
+    own = sized_join(named, core.select(*grid.xs, "node"), grid.xs, key, grid.copies)
+    lowest = own.groupBy("node").agg(F.min(key).alias("_first"))
+    cells = cut_lineage(roots.join(lowest, "node"))
+    firsts = cells.groupBy("root").agg(F.min("_first").alias("_first"))
+    if dict(firsts.dtypes)["_first"] in ("int", "bigint", "smallint", "tinyint"):
         numbered = positions(firsts, [], ["_first"], number_block("_first"), "clust_id")
     else:
         numbered = firsts.withColumn("clust_id", F.row_number().over(W.orderBy("_first")) - 1)
-    cores = cut_lineage(placed.join(numbered.select("_root", "clust_id"), "_root").select(*grid.xs, *grid.cs, "clust_id"))
+    numbers = sized_join(cells.select("node", "root"), numbered.select("root", "clust_id"), "root", "node", cells.count())
+    numbers = numbers.select("node", "clust_id")
+    cores = cut_lineage(sized_join(core, numbers, "node", grid.xs, grid.largest).select(*grid.xs, *grid.cs, "clust_id"))
     touched = grid.neighbours(flags.where("not core"), cores).groupBy(*grid.qs).agg(F.min("clust_id").alias("clust_id"))
     borders = touched.withColumnsRenamed(dict(zip(grid.qs, grid.xs)))
     labels = cores.select(*grid.xs, "clust_id").unionByName(borders)
     spots = flags.select(*grid.xs, "core").join(labels, grid.xs, "left")
     spots = spots.withColumn("clust_id", F.coalesce(F.col("clust_id"), F.lit(NOISE)).cast("int"))
-    return hot_join(named, spots, grid.xs, key).select(key, "core", "clust_id")
+    return sized_join(named, spots, grid.xs, key, grid.copies).select(key, "core", "clust_id")

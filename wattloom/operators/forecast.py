@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattloom.operators.regress import fit_least_squares, linear_value
-from wattloom.operators.windows import sequence_window
+from wattloom.operators.windows import dot, sequence_window
 
 
 def supervised(series: DataFrame, bases: DataFrame, next_times: int, time_features: Sequence[str] = (),
@@ -138,17 +138,22 @@ def descend_persistence(train: DataFrame, test: DataFrame, epochs: int, batches:
         *keys, "epoch", "batch", "base_pos", "horizon", "pos", (F.col("ratio") * F.col("x")).alias("pred_val"), "err_train")
 
 
+def even_steps(count: int) -> np.ndarray:
+    """Irrational step lengths whose multiples, taken modulo 1, fill a cube of ``count`` dimensions evenly."""
+    root = 2.0
+    for _ in range(64):
+        root = (1.0 + root) ** (1.0 / (count + 1))
+    return root ** -np.arange(1.0, count + 1)
+
+
 def fourier_frequencies(width: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fixed standard-normal directions (count x width) and phases of random Fourier features.
+    """Fixed standard-normal directions (count x width) and phases of Fourier features.
 
-    They come from irrational steps, so a fit is repeatable without a seed.
+    They are spread evenly instead of drawn, so a fit is repeatable without a seed.
     """
-    i = np.arange(1, width * count + 1)
-    u = np.mod(i * 0.6180339887498949, 1.0)
-    v = np.mod(i * 0.7548776662466927, 1.0)
-    normal = np.sqrt(-2.0 * np.log(u)) * np.cos(2 * math.pi * v)
-    phases = 2 * math.pi * np.mod(np.arange(1, count + 1) * 0.5698402909980532, 1.0)
-    return normal.reshape(count, width), phases
+    spread = np.mod(0.5 + np.outer(np.arange(1, count + 1), even_steps(2 * width + 1)), 1.0)
+    normal = np.sqrt(-2.0 * np.log(spread[:, :width])) * np.cos(2 * math.pi * spread[:, width:-1])
+    return normal, 2 * math.pi * spread[:, -1]
 
 
 def scale_gamma(train: DataFrame, features: str = "features") -> DataFrame:
@@ -161,14 +166,12 @@ def scale_gamma(train: DataFrame, features: str = "features") -> DataFrame:
 def fourier_features(samples: DataFrame, width: int, gamma: Column, count: int = 64) -> DataFrame:
     """Replace ``features`` by cosines whose products approximate the radial kernel exp(-gamma |x - y|^2)."""
     directions, phases = fourier_frequencies(width, count)
-    stretch = F.sqrt(gamma * 2)
-    # fixed numbers in one array literal per direction: evaluated inside generated code, no join
-    cosines = [
-        F.cos(F.col("_g") * sum((F.col("features")[j] * float(w) for j, w in enumerate(row)), F.lit(0.0)) + float(b))
-        * math.sqrt(2.0 / count)
-        for row, b in zip(directions, phases)
-    ]
-    return samples.withColumn("_g", stretch).withColumn("features", F.array(*cosines)).drop("_g")
+    fixed = [(w.tolist(), float(b)) for w, b in zip(directions, phases)]
+    waves = samples.sparkSession.createDataFrame([(fixed,)], "w array<struct<d: array<double>, b: double>>").scalar()
+    height = math.sqrt(2.0 / count)
+    held = samples.withColumns({"_w": waves, "_g": F.sqrt(gamma * 2)})
+    cosines = F.transform("_w", lambda w: F.cos(F.col("_g") * dot(F.col("features"), w["d"]) + w["b"]) * height)
+    return held.withColumn("features", cosines).drop("_w", "_g")
 
 
 def fit_rbf(train: DataFrame, keys: Sequence[str] = ("clust_id",), ridge: float = 1.0) -> DataFrame:

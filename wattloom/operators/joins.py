@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+HOT = 1 << 16
 
 
 def salted_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], spread_by: str | Sequence[str],
@@ -29,7 +30,7 @@ def salted_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str]
 
 
 def hot_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], spread_by: str | Sequence[str],
-             how: str = "inner", share: int = 1000, least: int = 1 << 16) -> DataFrame:
+             how: str = "inner", share: int = 1000, least: int = HOT) -> DataFrame:
     """Equi join that salts only the hot fact keys.
 
     A key is hot when it holds more than 1/``share`` of the facts (and more than ``least`` rows), so there are
@@ -47,6 +48,17 @@ def hot_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], s
     return salted.join(wide, [*keys, "_salt"], how).drop("_salt")
 
 
+def sized_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], spread_by: str | Sequence[str],
+               largest: int, how: str = "inner") -> DataFrame:
+    """Plain equi join where no fact key can hold more than HOT rows, else one that salts the hot keys.
+
+    ``largest`` is a known bound of the rows per key.
+    """
+    if largest <= HOT:
+        return facts.join(dimension, key, how)
+    return hot_join(facts, dimension, key, spread_by, how, least=HOT)
+
+
 def keep_allocated(readings: DataFrame, allocations: DataFrame, codes: Sequence[str] = ("1", "2"),
                    key: str = "id", spread_by: str = "code", code: str = "code", salts: int = SALTS) -> DataFrame:
     """Readings of meters that belong to one of the customer classes."""

@@ -30,6 +30,20 @@ def product_sums(samples: DataFrame, groups: Sequence[str], features: str, targe
         vector_to_array(total).alias("sums"), F.max(F.size(features)).alias("width"))
 
 
+def _least_norm(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
+    """Solution of least norm, its rank judged on columns scaled to equal length."""
+    scale = np.sqrt(np.maximum(np.diag(gram), 0.0))
+    scale[scale == 0] = 1.0
+    values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
+    kept = values > 1e-12 * values[-1]
+    part = vectors[:, kept]
+    weights = (part @ ((part.T @ (cross / scale[:, None])) / values[kept][:, None])) / scale[:, None]
+    if kept.all():
+        return weights
+    free = vectors[:, ~kept] / scale[:, None]
+    return weights - free @ np.linalg.lstsq(free, weights, rcond=None)[0]
+
+
 def solve_sums(sums: np.ndarray, width: int, ridge: float, basis: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Intercepts and coefficients (targets x features) of ridge or minimum-norm least squares.
 
@@ -46,10 +60,7 @@ def solve_sums(sums: np.ndarray, width: int, ridge: float, basis: np.ndarray | N
     if ridge > 0:
         weights = np.linalg.solve(gram + ridge * np.eye(len(gram)), cross)
     else:
-        scale = np.sqrt(np.maximum(np.diag(gram), 0.0))
-        scale[scale == 0] = 1.0
-        weights = np.linalg.pinv(gram / np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (cross / scale[:, None])
-        weights = weights / scale[:, None]
+        weights = _least_norm(gram, cross)
     if basis is not None:
         weights = basis.T @ weights
     return mean[width:] - mean[:width] @ weights, weights.T

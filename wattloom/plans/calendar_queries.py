@@ -196,9 +196,9 @@ def climate_days(spark, sf):
 
 
 @query("master_rows", f"""
-    WITH {HOURLY_TOTAL_SQL} SELECT CAST(time AS VARCHAR) AS time, round(value, 4) AS value, {CYCLE_SQL}, {FLAG_SQL} FROM series""")
+    WITH {HOURLY_TOTAL_SQL} SELECT CAST(time AS VARCHAR) AS time, round(value, 6) AS value, {CYCLE_SQL}, {FLAG_SQL} FROM series""")
 def master_rows(spark, sf):
     totals = hourly_totals(spark, sf).select("time", "value")
     calendar = calendar_features(grid_index(readings(spark, sf)).select("time")).drop("date")
     rows = beside(calendar, totals)
-    return text_time(rounded(rounded(rows, 9, *CYCLE_NAMES), 4, "value"), "time")
+    return text_time(rounded(rounded(rows, 9, *CYCLE_NAMES), 6, "value"), "time")

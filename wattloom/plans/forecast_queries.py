@@ -68,12 +68,12 @@ def solve_sql(width: int, ridge: float = 0.0) -> str:
 def forecast_sql(series: str, split: str, next_times: int, features: str, width: int, ridge: float, places: int) -> str:
     return f"""
     WITH RECURSIVE {series}, {split}, {roles_sql()}, {target_sql(next_times)}, {features}, {solve_sql(width, ridge)}
-    SELECT grp AS clust_id, base AS base_pos, h AS horizon, round(a, {places}) AS act_val, round(p, {places}) AS pred_val FROM fitted"""
+    SELECT grp AS clust_id, base AS base_pos, h AS horizon, round(a, 6) AS act_val, round(p, {places}) AS pred_val FROM fitted"""
 
 
 def result(forecasts, totals, places: int):
     rows = attach_actuals(forecasts, totals).select("clust_id", "base_pos", "horizon", "act_val", "pred_val")
-    return rounded(rows, places, "act_val", "pred_val")
+    return rounded(rounded(rows, 6, "act_val"), places, "pred_val")
 
 
 LINEAR = ["value", *HOUR_CYCLE, *FLAGS]
@@ -126,16 +126,17 @@ def forecast_dlinear(spark, sf):
 
 def fourier_sql(width: int, count: int) -> str:
     """The same fixed directions and phases, by formula."""
+    steps = ", ".join(f"({j}, {s!r}::DOUBLE)" for j, s in enumerate(fc.even_steps(2 * width + 1).tolist(), 1))
     return f"""
     gamma AS (SELECT 1.0 / ({width} * var_pop(x)) AS gamma FROM raw WHERE role = 'train'),
-    dirs AS (
-      SELECT d, i, sqrt(-2 * ln(u)) * cos({2 * math.pi!r} * v) AS w FROM (
-        SELECT d, i, (n * 0.6180339887498949::DOUBLE) % 1 AS u, (n * 0.7548776662466927::DOUBLE) % 1 AS v FROM (
-          SELECT d, i, d * {width} + i AS n FROM (SELECT unnest(generate_series(0, {count - 1})) AS d), (SELECT unnest(generate_series(1, {width})) AS i)))),
+    steps_(j, s) AS (VALUES {steps}),
+    spread AS (SELECT d, j, (0.5::DOUBLE + d * s) % 1 AS u FROM (SELECT unnest(generate_series(1, {count})) AS d), steps_),
+    dirs AS (SELECT a.d, a.j AS i, sqrt(-2 * ln(a.u)) * cos({2 * math.pi!r} * c.u) AS w
+             FROM spread a JOIN spread c ON c.d = a.d AND c.j = a.j + {width} WHERE a.j <= {width}),
     feats AS (
-      SELECT grp, role, base, d + 1 AS i,
-             {math.sqrt(2.0 / count)!r} * cos(sqrt(2 * any_value(gamma)) * sum(w * x) + {2 * math.pi!r} * (((d + 1) * 0.5698402909980532::DOUBLE) % 1)) AS x
-      FROM raw JOIN dirs USING (i), gamma GROUP BY grp, role, base, d
+      SELECT grp, role, base, dirs.d AS i,
+             {math.sqrt(2.0 / count)!r} * cos(sqrt(2 * any_value(gamma)) * sum(w * x) + {2 * math.pi!r} * any_value(ph.u)) AS x
+      FROM raw JOIN dirs USING (i) JOIN spread ph ON ph.d = dirs.d AND ph.j = {2 * width + 1}, gamma GROUP BY grp, role, base, dirs.d
       UNION ALL SELECT DISTINCT grp, role, base, 0, 1.0 FROM raw)"""
 
 

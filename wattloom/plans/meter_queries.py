@@ -152,11 +152,11 @@ def unpivot_types(spark, sf):
 
 
 @query("first_300", f"""
-    WITH {HOURLY_TOTAL_SQL} SELECT pos, CAST(time AS VARCHAR) AS time, round(value, 4) AS value
+    WITH {HOURLY_TOTAL_SQL} SELECT pos, CAST(time AS VARCHAR) AS time, round(value, 6) AS value
     FROM series ORDER BY series.time LIMIT 300""")
 def first_hours(spark, sf):
     head = first_steps(hourly_totals(spark, sf), 300)
-    return text_time(rounded(head.select("pos", "time", "value"), 4, "value"), "time")
+    return text_time(rounded(head.select("pos", "time", "value"), 6, "value"), "time")
 
 
 @query("sample_meters")

@@ -67,10 +67,10 @@ def ratios(spark, sf):
 
 @query("forecast_rows", f"""
     WITH {PAIR_SQL} SELECT clust_id, base_pos, horizon, pos, CAST(time AS VARCHAR) AS time,
-      round(act_val, 4) AS act_val, round(pred_val, 4) AS pred_val FROM forecasts""")
+      round(act_val, 6) AS act_val, round(pred_val, 6) AS pred_val FROM forecasts""")
 def forecast_rows(spark, sf):
     rows = forecasts(spark, sf).withColumn("time", F.col("time").cast("string"))
-    return rounded(rows, 4, "act_val", "pred_val")
+    return rounded(rows, 6, "act_val", "pred_val")
 
 
 @query("forecast_errors", f"""

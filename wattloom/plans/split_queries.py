@@ -89,29 +89,30 @@ def bootstrap(spark, sf):
 
 @query("horizon_targets", f"""
     WITH {HOURLY_TOTAL_SQL}, {HOURLY_SPLIT_SQL}
-    SELECT clust_id, b.pos AS base_pos, h AS horizon, s.pos AS pos, round(s.value, 4) AS target
+    SELECT clust_id, b.pos AS base_pos, h AS horizon, s.pos AS pos, round(s.value, 6) AS target
     FROM bases b, (SELECT unnest(generate_series(1, 24)) AS h) JOIN series s ON s.pos = b.pos + h""")
 def targets(spark, sf):
     split = hourly_split(spark, sf)
-    return rounded(horizon_targets(hourly_totals(spark, sf), split.bases, HOURLY.next_times), 4, "target")
+    return rounded(horizon_targets(hourly_totals(spark, sf), split.bases, HOURLY.next_times), 6, "target")
 
 
 CHECKS = ("prev_sum", "prev_weighted", "next_sum", "next_weighted")
 
 
 def checked(df, prev: str, ahead: str):
+    logs = df.withColumns({c: F.transform(c, lambda v: F.log1p(v)) for c in (prev, ahead)})
     sums = {"prev_sum": array_sum(F.col(prev)), "prev_weighted": weighted(F.col(prev)),
             "next_sum": array_sum(F.col(ahead)), "next_weighted": weighted(F.col(ahead))}
-    return df.withColumns({n: F.round(c, 3) for n, c in sums.items()}).drop(prev, ahead)
+    return logs.withColumns({n: F.round(c, 6) for n, c in sums.items()}).drop(prev, ahead)
 
 
 def window_sql(bases: str) -> str:
     return f"""
     SELECT clust_id, b.pos AS base_pos,
-           round(sum(CASE WHEN s.pos <= b.pos THEN value END), 3) AS prev_sum,
-           round(sum(CASE WHEN s.pos <= b.pos THEN value * (s.pos - b.pos + 192) END), 3) AS prev_weighted,
-           round(sum(CASE WHEN s.pos > b.pos THEN value END), 3) AS next_sum,
-           round(sum(CASE WHEN s.pos > b.pos THEN value * (s.pos - b.pos) END), 3) AS next_weighted
+           round(sum(CASE WHEN s.pos <= b.pos THEN ln(1 + value) END), 6) AS prev_sum,
+           round(sum(CASE WHEN s.pos <= b.pos THEN ln(1 + value) * (s.pos - b.pos + 192) END), 6) AS prev_weighted,
+           round(sum(CASE WHEN s.pos > b.pos THEN ln(1 + value) END), 6) AS next_sum,
+           round(sum(CASE WHEN s.pos > b.pos THEN ln(1 + value) * (s.pos - b.pos) END), 6) AS next_weighted
     FROM {bases} b JOIN series s ON s.pos BETWEEN b.pos - 191 AND b.pos + 24 GROUP BY 1, 2"""
 
 
@@ -132,13 +133,13 @@ def gathered_windows(spark, sf):
 
 @query("seasonal_lags", f"""
     WITH {HOURLY_TOTAL_SQL}, {HOURLY_SPLIT_SQL},
-    l AS (SELECT *, {", ".join(f"round(lag(value, {24 * j}) OVER (PARTITION BY clust_id ORDER BY pos), 4) AS lag_{j}" for j in range(1, 8))} FROM series)
+    l AS (SELECT *, {", ".join(f"round(lag(value, {24 * j}) OVER (PARTITION BY clust_id ORDER BY pos), 6) AS lag_{j}" for j in range(1, 8))} FROM series)
     SELECT b.pos AS base_pos, h AS horizon, {", ".join(f"lag_{j}" for j in range(1, 8))}
     FROM bases b, (SELECT unnest(generate_series(1, 24)) AS h) JOIN l ON l.pos = b.pos + h""")
 def skip_lags(spark, sf):
     series = hourly_totals(spark, sf)
     rows = seasonal_lags(horizon_targets(series, hourly_split(spark, sf).bases, HOURLY.next_times), series)
-    return rows.select("base_pos", "horizon", *[F.round(F.col("skip_lags")[j - 1], 4).alias(f"lag_{j}") for j in range(1, 8)])
+    return rows.select("base_pos", "horizon", *[F.round(F.col("skip_lags")[j - 1], 6).alias(f"lag_{j}") for j in range(1, 8)])
 
 
 @query("trend_seasonal", f"""
@@ -179,7 +180,7 @@ def seeds(spark, sf):
     return rounded(out, 6, "trend_sum", "trend_weighted", "seasonal_sum", "seasonal_weighted")
 
 
-@query("cluster_totals", f"WITH {SEGMENT_TOTAL_SQL} SELECT clust_id, pos, round(value, 4) AS value FROM series")
+@query("cluster_totals", f"WITH {SEGMENT_TOTAL_SQL} SELECT clust_id, pos, round(value, 6) AS value FROM series")
 def segment_totals(spark, sf):
     totals = cluster_totals(hourly_series(spark, sf), segments(spark, sf))
-    return rounded(totals.drop("time"), 4, "value")
+    return rounded(totals.drop("time"), 6, "value")
