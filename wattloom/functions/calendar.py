@@ -67,10 +67,11 @@ def calendar_features(df: DataFrame, time: str = "time") -> DataFrame:
 def holiday_flag(df: DataFrame, holidays: DataFrame, date: str = "date", out: str = "holiday_yn") -> DataFrame:
     """1 where the date occurs in the holiday table (one column ``date``), else 0.
 
-    No hint is given: Catalyst broadcasts the holiday side when its measured size allows it.
+    The distinct holidays are broadcast: a date column has fewer than four million values (years 1 to 9999),
+    so their size is bounded whatever the tables, and the facts are not shuffled by date.
     """
     days = holidays.select(F.col("date").cast("date").alias(date)).distinct().withColumn(out, F.lit(1))
-    joined = df.join(days, date, "left")
+    joined = df.join(F.broadcast(days), date, "left")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -179,24 +180,32 @@ def fit_rbf(train: DataFrame, keys: Sequence[str] = ("clust_id",), ridge: float
     return fit_least_squares(train, keys, ridge=ridge)
 
 
-def _each_model(train: DataFrame, test: DataFrame, next_times: int, keys: Sequence[str], fit) -> DataFrame:
-    """Fit one estimator per cluster and horizon on a shared cached table, predict the test bases, stack."""
+def _each_model(train: DataFrame, test: DataFrame, next_times: int, keys: Sequence[str], fit, parallelism: int) -> DataFrame:
+    """Fit one estimator per cluster and horizon on a shared cached table, predict the test bases, stack.
+
+    Each fit is a distributed job; ``parallelism`` of them run at the same time to fill the cluster.
+    """
+    spark = train.sparkSession
     train = train.withColumn("_v", array_to_vector("features")).persist(StorageLevel.MEMORY_AND_DISK)
     test = test.withColumn("_v", array_to_vector("features"))
-    parts = []
-    for group in train.select(*keys).distinct().collect():
-        match = [F.col(k) == group[k] for k in keys]
-        for h in range(1, next_times + 1):
-            rows, asked = train, test
-            for m in match:
-                rows, asked = rows.where(m), asked.where(m)
-            model = fit(rows.withColumn("_y", F.col("targets")[h - 1]))
-            parts.append(model.transform(asked).select(
-                *keys, "base_pos", F.lit(h).alias("horizon"), (F.col("base_pos") + h).alias("pos"),
-                F.col("_yhat").alias("pred_val")))
-    train.unpersist()
-    if not parts:
+    groups = [row.asDict() for row in train.select(*keys).distinct().orderBy(*keys).collect()]
+
+    def run(task: tuple[dict, int]) -> DataFrame:
+        group, h = task
+        rows, asked = train, test
+        for k, v in group.items():
+            rows, asked = rows.where(F.col(k) == F.lit(v)), asked.where(F.col(k) == F.lit(v))
+        model = fit(rows.withColumn("_y", F.col("targets")[h - 1]))
+        return model.transform(asked).select(
+            *keys, "base_pos", F.lit(h).alias("horizon"), (F.col("base_pos") + h).alias("pos"),
+            F.col("_yhat").alias("pred_val"))
+
+    tasks = [(group, h) for group in groups for h in range(1, next_times + 1)]
+    if not tasks:
         raise ValueError("no training samples")
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(run), tasks)
+    train.unpersist()
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -204,16 +213,17 @@ def _each_model(train: DataFrame, test: DataFrame, next_times: int, keys: Sequen
 
 
 def forecast_gbt(train: DataFrame, test: DataFrame, next_times: int, keys: Sequence[str] = ("clust_id",),
-                 max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, seed: int = 0) -> DataFrame:
+                 max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, seed: int = 0,
+                 parallelism: int = 4) -> DataFrame:
     """Boosted trees, one model per cluster and horizon; Spark grows each tree on all rows at once."""
     estimator = GBTRegressor(featuresCol="_v", labelCol="_y", predictionCol="_yhat", maxIter=max_iter,
                              maxDepth=max_depth, stepSize=step_size, seed=seed)
-    return _each_model(train, test, next_times, keys, estimator.fit)
+    return _each_model(train, test, next_times, keys, estimator.fit, parallelism)
 
 
 def forecast_huber(train: DataFrame, test: DataFrame, next_times: int, keys: Sequence[str] = ("clust_id",),
-                   reg: float = 0.0, max_iter: int = 100) -> DataFrame:
+                   reg: float = 0.0, max_iter: int = 100, parallelism: int = 4) -> DataFrame:
     """Robust linear models on the given features, for example Fourier features, one per cluster and horizon."""
     estimator = LinearRegression(featuresCol="_v", labelCol="_y", predictionCol="_yhat", loss="huber",
                                  solver="l-bfgs", regParam=reg, maxIter=max_iter)
-    return _each_model(train, test, next_times, keys, estimator.fit)
+    return _each_model(train, test, next_times, keys, estimator.fit, parallelism)

@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
 HOT = 1 << 16
 
 
+def salt_of(columns: Sequence[str], parts: Column) -> Column:
+    """Part number from a hash of the columns; never null, so no filter on it is needed."""
+    return F.coalesce(F.pmod(F.xxhash64(*columns), parts).cast("int"), F.lit(0))
+
+
 def salted_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], spread_by: str | Sequence[str],
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Equi join in which the rows of one fact key are spread over ``salts`` tasks.
@@ -24,7 +29,7 @@ def salted_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str]
     """
     keys = [key] if isinstance(key, str) else list(key)
     by = [spread_by] if isinstance(spread_by, str) else list(spread_by)
-    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    salt = salt_of(by, F.lit(salts))
     wide = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return facts.withColumn("_salt", salt).join(wide, [*keys, "_salt"], how).drop("_salt")
 
@@ -43,7 +48,7 @@ def hot_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], s
     counts = facts.groupBy(*keys).agg(F.count("*").alias("_n"))
     hot = F.broadcast(counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    salted = facts.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    salted = facts.join(hot, keys, "left").withColumn("_salt", salt_of(by, parts)).drop("_parts")
     wide = dimension.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return salted.join(wide, [*keys, "_salt"], how).drop("_salt")
 

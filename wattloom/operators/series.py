@@ -87,14 +87,18 @@ def fill_gaps(df: DataFrame, key: str, step: str, value: str, lo: Column, hi: Co
 
 
 def regular_series(readings: DataFrame, key: str = "meter_id", time: str = "time", value: str = "value",
-                   step_seconds: int = 3600) -> DataFrame:
+                   step_seconds: int = 3600, span: tuple[Column, Column] | None = None) -> DataFrame:
     """Roll up to steps, align every meter to the common grid and fill gaps: key, pos, time, value.
 
-    ``pos`` is the 0-based grid position, computed from the time without a sort.
+    ``pos`` is the 0-based grid position, computed from the time without a sort. The grid runs over ``span``,
+    two timestamp columns, or else from the first to the last reading, which reads the time column once more.
     """
     steps = step_totals(readings, [key], time, value, step_seconds)
-    lo = readings.agg(step_index(F.min(time), step_seconds).alias("lo")).scalar()
-    hi = readings.agg(step_index(F.max(time), step_seconds).alias("hi")).scalar()
+    if span is None:
+        lo = readings.agg(step_index(F.min(time), step_seconds).alias("lo")).scalar()
+        hi = readings.agg(step_index(F.max(time), step_seconds).alias("hi")).scalar()
+    else:
+        lo, hi = (step_index(t, step_seconds) for t in span)
     filled = fill_gaps(steps, key, "step", value, lo, hi)
     return filled.select(
         key, (F.col("step") - lo).alias("pos"), step_time(F.col("step"), step_seconds).alias("time"), value)

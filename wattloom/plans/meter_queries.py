@@ -9,7 +9,8 @@ from wattloom.operators.joins import keep_allocated
 from wattloom.operators.ordered import even_block, positions
 from wattloom.operators.series import (
     code_range, day_lags, distinct_ids, first_per_key, first_steps, sample_meters, to_daily, to_hourly, to_long, to_wide)
-from wattloom.plans.inputs import HOURLY_SQL, HOURLY_TOTAL_SQL, hourly_series, hourly_totals, readings
+from wattloom.plans.inputs import HOURLY_SQL, HOURLY_TOTAL_SQL, filled_sql, hourly_series, hourly_totals, readings
+from wattloom.plans.master import meter_series
 from wattloom.plans.registry import query, rounded, table, text_time
 from wattloom.sources.tables import only_missing, union_parts
 
@@ -163,3 +164,17 @@ def first_hours(spark, sf):
 def sampled_meters(spark, sf):
     days = to_daily(readings(spark, sf))
     return text_time(sample_meters(days.withColumn("value", F.col("value").cast("double")), 40), "date")
+
+
+# half-hour series of the meters of two segments, first reading per code
+MASTER_SOURCE = """
+    SELECT user_id AS meter_id, time_bucket(INTERVAL 30 MINUTE, ts) AS time, arg_min(value, event_id) AS value FROM events
+    WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')) GROUP BY 1, 2"""
+
+
+@query("master_series", f"""
+    WITH {filled_sql(MASTER_SOURCE, 1800)} SELECT meter_id, pos, CAST(time - INTERVAL 5478 DAY AS VARCHAR) AS time, value FROM filled""")
+def master_series(spark, sf):
+    allocations = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("code"))
+    rows = coded(spark, sf).withColumn("value", F.col("value").cast("double"))
+    return text_time(meter_series(rows, allocations, ("BUILDING", "HOUSEHOLD"), ("event_id",)), "time")

@@ -26,22 +26,19 @@ def local_session(cores: int | str = 8, memory: str = "12g", shuffle_partitions:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="wattloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return tempfile.mkdtemp(prefix="wattloom-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and continue from there; survives the loss of executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
