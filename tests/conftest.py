@@ -11,6 +11,7 @@ from wattloom.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cores=4, memory="4g", shuffle_partitions=2)
+    session.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny inputs: compiling costs more than it saves
     yield session
     session.stop()
 

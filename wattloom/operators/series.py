@@ -170,7 +170,7 @@ def decompose(series: DataFrame, k: int = 11, keys: Sequence[str] = ("clust_id",
 
 def sample_meters(df: DataFrame, n: int, seed: int = 0, key: str = "meter_id") -> DataFrame:
     """Rows of n meters drawn without replacement; the draw depends on the meter ids and the seed only."""
-    drawn = df.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    drawn = df.select(key).distinct().orderBy(F.md5(F.concat_ws(":", key, F.lit(seed))), key).limit(n)
     return df.join(drawn, key, "left_semi")
 
 

@@ -113,7 +113,7 @@ def bootstrap_bases(train: DataFrame, n_bases: int, ratio: float, seed: int = 0)
         return train.orderBy("pos")
     count = train.agg(F.count("*").alias("n")).scalar()
     draws = train.sparkSession.range(int(n_bases * ratio)).select(
-        F.pmod(F.xxhash64("id", F.lit(seed)), count).alias("_rank"))
+        F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "id", F.lit(seed))), 1, 15), 16, 10).cast("long"), count).alias("_rank"))
     return draws.join(ranked(train), "_rank").drop("_rank").orderBy("pos")
 
 

@@ -81,7 +81,12 @@ def position_sets(spark, sf):
     return both_seasons(run)
 
 
-@query("bootstrap_bases")
+@query("bootstrap_bases", f"""
+    WITH {DAILY_TOTAL_SQL}, {split_sql(DAILY["summer"])},
+    ranked AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS rn FROM train),
+    draws AS (SELECT CAST('0x' || substr(md5(i || ':0'), 1, 15) AS BIGINT) % (SELECT count(*) FROM train) AS rn
+              FROM (SELECT unnest(generate_series(0, (SELECT count(*) // 2 FROM bases) - 1)) AS i))
+    SELECT pos FROM draws JOIN ranked USING (rn)""")
 def bootstrap(spark, sf):
     split = daily_split(spark, sf, "summer")
     return bootstrap_bases(split.train, split.bases.count(), 0.5).select("pos")
