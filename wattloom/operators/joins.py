@@ -65,8 +65,9 @@ def sized_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str],
 
 
 def keep_allocated(readings: DataFrame, allocations: DataFrame, codes: Sequence[str] = ("1", "2"),
-                   key: str = "id", spread_by: str = "code", code: str = "code", salts: int = SALTS) -> DataFrame:
-    """Readings of meters that belong to one of the customer classes."""
+                   key: str = "id", code: str = "code", salts: int = SALTS) -> DataFrame:
+    """Readings of meters that belong to one of the customer classes; a hot meter is salted by its other columns."""
+    spread_by = [c for c in readings.columns if c != key]
     meters = allocations.where(F.col(code).isin(*codes)).select(key).distinct()
     return salted_join(readings, meters, key, spread_by, "left_semi", salts)
 

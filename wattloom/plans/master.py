@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattloom.functions.calendar import calendar_features, holiday_flag, holiday_table
 from wattloom.functions.timecode import TICK_MINUTES, decode_code, off_grid, step_index, step_time, time_grid
 from wattloom.operators.climate import clean_observations, day_rollover
-from wattloom.operators.joins import join_climate, keep_allocated
+from wattloom.operators.joins import join_climate
 from wattloom.operators.series import fill_gaps, first_per_key, to_hourly
 from wattloom.sources.pages import html_cells
 from wattloom.sources.tables import append_missing, only_missing, write_table
@@ -24,18 +24,18 @@ def meter_series(readings: DataFrame, allocations: DataFrame, codes: Sequence[st
 
     Of several readings with one code the first by ``order`` counts. Readings whose tick lies past the day
     match no grid step and are dropped; a meter that has only such readings stays, without values.
-    """
-    kept = keep_allocated(readings, allocations, codes)
-    return coded_series(kept, order)
-
 
-def coded_series(readings: DataFrame, order: Sequence[str] = ("value",)) -> DataFrame:
-    firsts = first_per_key(readings.select("id", "code", "value", *[c for c in order if c != "value"]), ("id", "code"), order)
+    Copies are combined before anything is joined: then a meter has one row per code, and no key is hot.
+    """
+    meters = allocations.where(F.col("code").isin(*codes)).select("id").distinct()
+    columns = ["id", "code", "value", *[c for c in order if c not in ("id", "code", "value")]]
+    firsts = first_per_key(readings.select(*columns), ("id", "code"), order).join(meters, "id", "left_semi")
+    ranges = readings.groupBy("id").agg(F.min("code").alias("a"), F.max("code").alias("z")).join(meters, "id", "left_semi")
+    lo = ranges.agg(step_index(decode_code(F.min("a")), STEP).alias("lo")).scalar()
+    hi = ranges.agg(step_index(decode_code(F.max("z")), STEP).alias("hi")).scalar()
     placed = firsts.select(
         "id", step_index(decode_code(F.col("code")), STEP).alias("step"),
         F.when(~off_grid(F.col("code")), F.col("value").cast("double")).alias("value"))
-    lo = readings.agg(step_index(decode_code(F.min("code")), STEP).alias("lo")).scalar()
-    hi = readings.agg(step_index(decode_code(F.max("code")), STEP).alias("hi")).scalar()
     filled = fill_gaps(placed, "id", "step", "value", lo, hi)
     return filled.select(F.col("id").alias("meter_id"), (F.col("step") - lo).alias("pos"),
                          step_time(F.col("step"), STEP).alias("time"), "value")

@@ -89,7 +89,7 @@ def errors_by_batch(spark, sf):
     WITH {DESCENT_SQL} SELECT epoch, round(any_value(err_train), 4) AS err_train, {", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)}
     FROM be JOIN te USING (epoch) GROUP BY 1""")
 def errors_by_epoch(spark, sf):
-    rows = error_table(iterates(spark, sf))
+    rows = error_table(cut_lineage(iterates(spark, sf)))
     return rounded(rounded(rows, 6, *METRICS), 4, "err_train")
 
 

@@ -11,6 +11,7 @@ from wattloom.operators.windows import gather
 from wattloom.plans.inputs import (
     HOURLY_SPLIT_SQL, HOURLY_TOTAL_SQL, SEGMENT_TOTAL_SQL, hourly_split, hourly_totals)
 from wattloom.plans.registry import query, rounded
+from wattloom.session import cut_lineage
 
 LENGTH, MAX_LAG = 192, 168
 TOP = top_count(LENGTH)
@@ -85,7 +86,7 @@ DELAY_SQL = {
 
 def _delayed(scope: str):
     def run(spark, sf):
-        rows = delay_aggregate(windows(spark, sf), LENGTH, scope)
+        rows = delay_aggregate(cut_lineage(windows(spark, sf)), LENGTH, scope)
         steps = rows.select("clust_id", "base_pos", F.posexplode("delayed").alias("step", "value"))
         return rounded(steps, 6, "value")
 
