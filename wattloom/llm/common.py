@@ -16,3 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def small_side(df: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows when counted, else as it is for a shuffled join.
+
+    ``df`` should be checkpointed and narrow; the size is checked on the very rows that would be sent.
+    """
+    return F.broadcast(df) if df.count() <= most else df

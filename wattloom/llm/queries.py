@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import covering_simhash, sharding
+from wattloom.llm import covering_simhash, pareto_mix, sharding, variable_packing
 from wattloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,46 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = covering_simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = pareto_mix.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op4_mixing"] = r"""
+WITH docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::DOUBLE AS s FROM docs GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w,
+    row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sources),
+lined AS (SELECT *, row_number() OVER (ORDER BY s / w, place) AS line FROM weighed),
+filled AS (SELECT *, (1.5::DOUBLE * sum(s) OVER () - 2.0::DOUBLE * (sum(s) OVER (ORDER BY line) - s)) / (sum(w) OVER () - (sum(w) OVER (ORDER BY line) - w)) AS level FROM lined),
+flagged AS (SELECT *, level * w > 2.0::DOUBLE * s AS capped FROM filled),
+aims AS (SELECT source, s, capped OR s = 0 AS capped, CASE WHEN capped OR s = 0 THEN 2.0::DOUBLE * s
+    ELSE w * (SELECT arg_min(level, line) FROM flagged WHERE NOT capped) END AS target FROM flagged),
+classed AS (SELECT *, length(bin(size)) AS class FROM docs),
+sums AS (SELECT source, class, sum(size)::DOUBLE AS words, class::DOUBLE AS q FROM classed WHERE size > 0 GROUP BY source, class),
+leveled AS (SELECT a.source, class, q, words, s, target, capped,
+    (target - 2.0::DOUBLE * (sum(words) OVER up - words)) / (sum(words * q) OVER (PARTITION BY a.source) - (sum(words * q) OVER up - words * q)) AS level
+    FROM sums JOIN aims a ON sums.source IS NOT DISTINCT FROM a.source WINDOW up AS (PARTITION BY a.source ORDER BY class DESC)),
+topped AS (SELECT *, capped OR level * q > 2.0::DOUBLE AS top FROM leveled),
+picked AS (SELECT source, arg_max(level, class) AS level FROM topped WHERE NOT top GROUP BY source),
+meant AS (SELECT t.*, CASE WHEN top THEN 2.0::DOUBLE ELSE q * p.level END AS copies FROM topped t LEFT JOIN picked p ON t.source IS NOT DISTINCT FROM p.source),
+parts AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS part, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS rest FROM meant),
+drawn AS (SELECT c.*, whole, part, rest, (('0x' || substr(md5('4:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    FROM classed c JOIN parts p ON c.source IS NOT DISTINCT FROM p.source AND c.class = p.class WHERE size > 0),
+ranked AS (SELECT *, u * (1 - part) / ((1 - u) * part) AS rank FROM drawn WHERE part > 0),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) AS upto FROM ranked),
+more AS (SELECT DISTINCT source, doc_id, size FROM summed WHERE upto - size / 2.0::DOUBLE <= rest)
+SELECT d.doc_id, d.size, a.s::BIGINT AS source_size, a.target,
+    (CASE WHEN d.size = 0 THEN 0 ELSE d.size * (p.whole + CASE WHEN m.doc_id IS NULL THEN 0 ELSE 1 END) END)::BIGINT AS taken
+FROM classed d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source
+LEFT JOIN parts p ON d.source IS NOT DISTINCT FROM p.source AND d.class = p.class
+LEFT JOIN more m ON d.doc_id = m.doc_id AND d.source IS NOT DISTINCT FROM m.source AND d.size = m.size
+"""
+
+
+@_query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return variable_packing.pack_texts(table(spark, folder, "documents"))
