@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import covering_simhash, pareto_mix, sharding, variable_packing
+from wattloom.llm import covering_simhash, language_id, pareto_mix, sharding, variable_packing
 from wattloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ LEFT JOIN more m ON d.doc_id = m.doc_id AND d.source IS NOT DISTINCT FROM m.sour
 @_query
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return variable_packing.pack_texts(table(spark, folder, "documents"))
+
+
+@_query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    found = language_id.identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
