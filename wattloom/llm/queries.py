@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import covering_simhash, language_id, pareto_mix, sharding, variable_packing
+from wattloom.llm import covering_simhash, language_id, license_rules, pareto_mix, sharding, variable_packing
 from wattloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
     found = language_id.identify(docs, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_rules.scan_licenses(table(spark, folder, "documents")).drop("spans")
