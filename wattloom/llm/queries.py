@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import covering_simhash, language_id, license_rules, pareto_mix, sharding, variable_packing
+from wattloom.llm import covering_simhash, language_id, license_rules, pareto_mix, quality_mcd, sharding, variable_packing
 from wattloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_rules.scan_licenses(table(spark, folder, "documents")).drop("spans")
+
+
+@_query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_mcd.judge(table(spark, folder, "documents"))
+    return found.select("doc_id", *quality_mcd.COUNTS, "base_failed", "kept")
