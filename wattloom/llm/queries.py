@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import covering_simhash, language_id, license_rules, pareto_mix, quality_mcd, sharding, url_rules, variable_packing
+from wattloom.llm import covering_simhash, language_id, license_rules, neighbour_routes, pareto_mix, quality_mcd, sharding, url_rules, variable_packing
 from wattloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.expr("quality = 0 OR toxic = 1").alias("rejected"))
     return url_rules.judge(table(spark, folder, "pages"), labels)
+
+
+@_query
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_routes.search(table(spark, folder, "embeddings"), "id % 50 = 0", k=5)
