@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import covering_simhash, language_id, license_rules, neighbour_routes, pareto_mix, quality_mcd, sharding, url_rules, variable_packing
+from wattloom.llm import covering_simhash, language_id, license_rules, neighbour_routes, pareto_mix, quality_mcd, repeats, sharding, url_rules, variable_packing
 from wattloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_routes.search(table(spark, folder, "embeddings"), "id % 50 = 0", k=5)
+
+
+@_query
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
