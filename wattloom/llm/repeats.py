@@ -10,7 +10,6 @@ their gram is shared, may still repeat in documents that are not the owner: thes
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import small_side
+from wattloom.llm.common import small_side, written
 from wattloom.llm.rl_index import RunIndex
-from wattloom.session import checkpoint_folder
 
 GRAM = 26
 #: Text bytes of a group of documents, reference bytes of a block, and query bytes of a block: sizes of tasks, about.
@@ -31,13 +29,6 @@ _NONE = np.uint64(2**64 - 1)
 _WEIGHTS = np.random.default_rng(50).integers(1, 2**63, (2, 1 << 10), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table below the shared checkpoint folder and read again; smaller than a checkpoint."""
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -289,7 +280,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("doc", "variant", "start", "stop")], ["doc", "variant", "start", "stop"])
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], characters: bool):
     """Documents with their spans and what is left of them."""
 
     def run(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
@@ -311,6 +302,8 @@ def _cut(names: list[str]):
             removed.append(int((b - a).sum()))
             edges = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(value)]
             kept.append(b"".join(value[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)) if len(a) else value)
+        if characters:
+            kept = [v.decode(errors="ignore").encode() for v in kept]
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         new = {"_bytes": pa.array([len(v) for v in values], pa.int64()), "_removed": pa.array(removed, pa.int64()), "_spans": pa.array(spans, span), "_kept": pa.array(kept, pa.binary())}
         return pa.table({**{n: docs[n] for n in names}, **new})
@@ -318,14 +311,15 @@ def _cut(names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 50, characters: bool = False) -> DataFrame:
     """All columns of ``docs`` but the text, with n_bytes, n_removed, n_spans, spans (array of start, stop) and kept (binary).
 
     Texts are UTF-8 bytes, null is empty. Every byte is removed that lies in a string of ``size`` bytes which also starts
     in a document with a smaller key; strings are judged on the input and never cross documents. A null key is larger
     than any other, and neither null nor equal keys are smaller than one another: repeated rows with equal keys both stay.
     Texts shorter than ``size`` and empty ones stay whole. Columns of ``docs`` with the names of new ones are replaced. An
-    empty table gives no rows. Windows that no index settles are compared by 95 bits of hashes. ``size`` is from 32 to 1024.
+    empty table gives no rows. With ``characters``, kept also lacks the bytes of characters that a span cuts apart, so that
+    it is text again; the counts and spans are the same. Windows that no index settles are compared by 95 bits of hashes. ``size`` is from 32 to 1024.
     """
     new = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
     names = [c for c in docs.columns if c != text and c not in new]
@@ -345,5 +339,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     marks = matched.repartition("one").sortWithinPartitions("one", "two", "doc").mapInArrow(_settle, "doc bigint, variant int, start int, stop int")
     columns = [f"c{k}" for k in range(len(names))]
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns]
-    cut = texts.groupBy("home").cogroup(marks.withColumn("home", home).groupBy("home")).applyInArrow(_cut(columns), ", ".join([*fields, "_bytes bigint, _removed bigint, _spans array<struct<start: bigint, stop: bigint>>, _kept binary"]))
+    cut = texts.groupBy("home").cogroup(marks.withColumn("home", home).groupBy("home")).applyInArrow(_cut(columns, characters), ", ".join([*fields, "_bytes bigint, _removed bigint, _spans array<struct<start: bigint, stop: bigint>>, _kept binary"]))
     return cut.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))
