@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.blobs import dealt, gathered, xxhash_long
 from wattloom.llm.common import small_side, written
 from wattloom.llm.rl_index import RunIndex
 
@@ -25,7 +26,14 @@ GRAM = 26
 HOME_BYTES, REFERENCE_BYTES, QUERY_BYTES = 8 << 20, 1 << 20, 16 << 20
 #: Pattern bytes that are streamed as one, and text bytes that are hashed at a time.
 PIECE, SLAB = 256, 4 << 20
+#: Rows that a task holds before it deals them out.
+HELD_ROWS = 1 << 20
 _NONE = np.uint64(2**64 - 1)
+#: Kinds of the numbers in blobs: grams by bucket, shared places by home, open windows by bucket, marks by home.
+_GRAMS = ("<i8", "<u2", "<u4", "<i4")
+_SHARED = ("<i8", "<i4", "<i8")
+_OPEN = ("<i8", "<i8", "<u2", "<i4", "<i4")
+_MARKS = ("<i8", "<i4", "<i4", "<i4")
 _WEIGHTS = np.random.default_rng(50).integers(1, 2**63, (2, 1 << 10), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,8 +104,8 @@ def _slabs(sizes: list[int]) -> Iterator[slice]:
             begin, held = k + 1, 0
 
 
-def _pick(size: int):
-    """Grams of every document: gram, doc, place."""
+def _pick(size: int, buckets: int):
+    """Grams of every document, dealt into buckets by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,44 +113,78 @@ def _pick(size: int):
             for slab in _slabs([len(t) for t in texts]):
                 text, owner, ends, first = _laid(texts[slab])
                 at, grams = winnow(text, ends, size)
-                doc = docs[slab][owner[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(doc), pa.array((at - first[owner[at]]).astype(np.int32))], ["gram", "doc", "place"])
+                grams = grams >> np.uint64(16)  # 48 bits tell grams apart well enough: what they find is compared byte by byte
+                yield dealt((grams % np.uint64(buckets)).astype(np.int64), [docs[slab][owner[at]], (grams >> np.uint64(32)), grams & np.uint64(0xFFFFFFFF), at - first[owner[at]]], _GRAMS)
 
     return run
 
 
-def _elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared places with the owner of their gram (the smallest doc) from rows sorted by gram, doc and place.
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            doc, high, low, place = gathered([blob], _GRAMS)
+            gram = (high.astype(np.int64) << 32) | low.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(place)], ["gram", "doc", "place"])
+
+
+def _homes(docs: np.ndarray, homes: int) -> np.ndarray:
+    """Home of each document, as ``pmod(xxhash64(doc), homes)`` gives it."""
+    return xxhash_long(docs) % homes
+
+
+def _dealt_home(parts: list[list[np.ndarray]], homes: int, kinds: tuple[str, ...]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return dealt(_homes(columns[0], homes), columns, kinds)
+
+
+def _elect(homes: int):
+    """Shared places with the owner of their gram (the smallest doc) from rows sorted by gram, doc and place, dealt to
+    the homes of their documents; and how many of them ask each block, which is the home of the owner.
 
     Of a gram's rows only the owner's own are held until another document follows; all others stream through.
     """
 
-    def told(doc: np.ndarray, place: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(owner)], ["doc", "place", "owner"])
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        last_gram = last_owner = None  # of a gram that is known to be shared and may go on
+        for batch in batches:
+            gram, doc, place = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
+            if not len(gram):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(gram))))
+            owner, found = doc[starts], doc[starts] < doc[np.append(starts[1:], len(doc)) - 1]
+            if last_gram is not None and gram[0] == last_gram:
+                owner[0], found[0] = last_owner, True
+            if found[-1]:
+                held, last_gram, last_owner = [h[:0] for h in held], gram[-1], owner[-1]
+            else:
+                held, last_gram, last_owner = [gram[starts[-1]:], doc[starts[-1]:], place[starts[-1]:]], None, None
+            keep = found[group]
+            yield [doc[keep], place[keep], owner[group][keep]]
 
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
-    last_gram = last_owner = None  # of a gram that is known to be shared and may go on
-    for batch in batches:
-        gram, doc, place = (np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held))
-        if not len(gram):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(gram))))
-        owner, largest = doc[starts], doc[np.append(starts[1:], len(doc)) - 1]
-        if last_gram is not None and gram[0] == last_gram:
-            owner[0] = last_owner
-            known = True
-        else:
-            known = False
-        shared = owner < largest
-        shared[0] |= known
-        tail = starts[-1]
-        if shared[-1]:
-            held, last_gram, last_owner = [h[:0] for h in held], gram[-1], owner[-1]
-        else:
-            held, last_gram, last_owner = [gram[tail:], doc[tail:], place[tail:]], None, None
-        keep = shared[group]
-        yield told(doc[keep], place[keep], owner[group][keep])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+
+        def out() -> pa.RecordBatch:
+            batch = _dealt_home(parts, homes, _SHARED)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int64())], ["home", "blob", "asked"])
+
+        counts: dict[int, int] = {}
+        for part in shared(batches):
+            parts.append(part)
+            rows += len(part[0])
+            asked, times = np.unique(_homes(part[2][part[0] != part[2]], homes), return_counts=True)
+            for block, n in zip(asked.tolist(), times.tolist(), strict=True):
+                counts[block] = counts.get(block, 0) + n
+            if rows >= HELD_ROWS:
+                yield out()
+                parts, rows = [], 0
+        if rows:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.nulls(len(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["home", "blob", "asked"])
+
+    return run
 
 
 def _variants(keys: np.ndarray, texts: list[bytes]) -> list[int]:
@@ -163,14 +205,16 @@ def _merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[new], reach[np.append(np.flatnonzero(new)[1:], len(first)) - 1]
 
 
-def _segments(size: int):
+def _segments(size: int, homes: int):
     """Reference and query segments of a group of documents: block, doc, variant, start, bytes, anchors (null: reference)."""
     around = size - GRAM
 
     def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
         docs, values = texts["doc"].to_numpy(), [t or b"" for t in texts["text"].to_pylist()]
-        shared = shared.sort_by([("doc", "ascending"), ("place", "ascending")])
-        at, place, owner, block = (shared[c].to_numpy().astype(np.int64) for c in ("doc", "place", "owner", "block"))
+        at, place, owner = gathered(shared["blob"].to_pylist(), _SHARED)
+        order = np.lexsort((place, at))
+        at, place, owner = at[order], place[order].astype(np.int64), owner[order]
+        block = _homes(owner, homes)
         out: list[list] = [[] for _ in range(6)]
         done = set()
         for doc, variant, value in zip(docs.tolist(), _variants(docs, values), values, strict=True):
@@ -199,30 +243,29 @@ def _segments(size: int):
     return run
 
 
-def _match(size: int):
-    """Marks (two is null) and open windows (two hashes) of the queries of a block; its references are indexed."""
+def _match(size: int, buckets: int):
+    """Marks, and open windows with their hashes, of the queries of a block whose references are indexed; dealt into
+    buckets, open windows by hash."""
 
     def run(table: pa.Table) -> pa.Table:
-        names = ["one", "two", "doc", "variant", "start", "stop"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         is_query = table["anchors"].is_valid().to_numpy(zero_copy_only=False)
-        found: list[list[np.ndarray]] = [[] for _ in names]
+        out = [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.bool_())], ["bucket", "blob", "marked"])]
         if is_query.any() and not is_query.all():
             references, queries = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
             index = RunIndex(references["bytes"].to_pylist(), references["doc"].to_numpy(), size)
             texts = queries["bytes"].to_pylist()
             for slab in _slabs([len(t) for t in texts]):
-                for column, part in zip(found, _open_and_marked(index, queries.slice(slab.start, slab.stop - slab.start), texts[slab], size), strict=True):
-                    column.append(part)
-        merged = [np.concatenate(c) if c else np.empty(0, np.int64) for c in found]
-        nulls = merged[1] < 0
-        columns = [pa.array(c, k, mask=nulls if name == "two" else None) for c, k, name in zip(merged, kinds, names, strict=True)]
-        return pa.table(columns, names=names)
+                marks, left = _open_and_marked(index, queries.slice(slab.start, slab.stop - slab.start), texts[slab], size)
+                for found, kinds, by in ((marks, _MARKS, xxhash_long(marks[0])), (left, _OPEN, left[1])):
+                    batch = dealt(by % buckets, found, kinds)
+                    out.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array([kinds is _MARKS] * batch.num_rows, pa.bool_())], ["bucket", "blob", "marked"]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def _open_and_marked(index: RunIndex, queries: pa.Table, texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
+def _open_and_marked(index: RunIndex, queries: pa.Table, texts: list[bytes], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Marks (doc, variant, start, stop) and open windows (doc, two hashes, variant, start)."""
     text, owner, ends, first = _laid(texts)
     docs, variants, starts = (queries[c].to_numpy().astype(np.int64) for c in ("doc", "variant", "start"))
     smallest = np.full(len(text), np.iinfo(np.int64).max)
@@ -257,27 +300,55 @@ def _open_and_marked(index: RunIndex, queries: pa.Table, texts: list[bytes], siz
         byte = text[left + k].astype(np.uint64) + np.uint64(1)
         one += byte * _WEIGHTS[0, k % 1024]
         two += byte * _WEIGHTS[1, k % 1024]
-    one, two = _mix(one).view(np.int64), (two >> np.uint64(33)).view(np.int64)
-    both = np.concatenate([a, left])
-    return (np.concatenate([_mix(a.astype(np.uint64)).view(np.int64), one]), np.concatenate([np.full(len(a), -1), two]), docs[owner[both]], variants[owner[both]],
-            starts[owner[both]] + both - first[owner[both]], starts[owner[both]] + np.concatenate([b, left]) - first[owner[both]] + size)
+    one, two = _mix(one).view(np.int64), two >> np.uint64(48)
+    begin = starts - first  # from the place in the slab to the place in the document
+    marks = [docs[owner[a]], variants[owner[a]], a + begin[owner[a]], b + begin[owner[a]] + size]
+    return marks, [docs[owner[left]], one, two, variants[owner[left]], left + begin[owner[left]]]
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks pass; of open windows sorted by their hashes and doc, those of all but the smallest document become marks."""
-    last: tuple[int, int, int] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        mark = batch.column("two").is_null().to_numpy(zero_copy_only=False)
-        one, two, doc = batch.column("one").to_numpy(), batch.column("two").fill_null(-1).to_numpy(), batch.column("doc").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-        smallest = doc[starts]
-        if last and (one[0], two[0]) == last[:2]:
-            smallest[0] = last[2]
-        last = (one[-1], two[-1], smallest[-1])
-        keep = mark | (doc > np.repeat(smallest, np.diff(np.append(starts, len(doc)))))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("doc", "variant", "start", "stop")], ["doc", "variant", "start", "stop"])
+def _windows(size: int):
+    """Rows of blobs: marks without hashes, open windows with two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if marked:
+                    doc, variant, start, stop = gathered([blob], _MARKS)
+                    hashes = [xxhash_long(doc), np.full(len(doc), -1)]
+                else:
+                    doc, one, two, variant, start = gathered([blob], _OPEN)
+                    hashes, stop = [one, two.astype(np.int64)], start + np.int32(size)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, [*hashes, doc, variant, start, stop])), ["one", "two", "doc", "variant", "start", "stop"])
+
+    return run
+
+
+def _settle(homes: int):
+    """Marks pass; of open windows sorted by their hashes and doc, those of all but the smallest document become marks.
+    All are dealt to the homes of their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, int] | None = None
+        parts, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two, doc, variant, start, stop = (c.to_numpy() for c in batch.columns)
+            starts = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            smallest = doc[starts]
+            if last and (one[0], two[0]) == last[:2]:
+                smallest[0] = last[2]
+            last = (one[-1], two[-1], smallest[-1])
+            keep = (two < 0) | (doc > np.repeat(smallest, np.diff(np.append(starts, len(doc)))))
+            parts.append([doc[keep], variant[keep], start[keep], stop[keep]])
+            rows += int(keep.sum())
+            if rows >= HELD_ROWS:
+                yield _dealt_home(parts, homes, _MARKS)
+                parts, rows = [], 0
+        if rows:
+            yield _dealt_home(parts, homes, _MARKS)
+
+    return run
 
 
 def _cut(names: list[str], characters: bool):
@@ -285,9 +356,10 @@ def _cut(names: list[str], characters: bool):
 
     def run(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         keys, values = docs["doc"].to_numpy(), [t or b"" for t in docs["text"].to_pylist()]
-        marks = marks.sort_by([("doc", "ascending"), ("variant", "ascending"), ("start", "ascending")])
-        at = list(zip(marks["doc"].to_pylist(), marks["variant"].to_pylist(), strict=True))
-        first, last = (marks[c].to_numpy().astype(np.int64) for c in ("start", "stop"))
+        doc, variant, first, last = gathered(marks["blob"].to_pylist(), _MARKS)
+        order = np.lexsort((first, variant, doc))
+        first, last = first[order].astype(np.int64), last[order].astype(np.int64)
+        at = zip(doc[order].tolist(), variant[order].tolist(), strict=True)
         bounds: dict[tuple[int, int], list[int]] = {}
         for k, pair in enumerate(at):
             bounds.setdefault(pair, [k, k])[1] = k + 1
@@ -319,25 +391,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     than any other, and neither null nor equal keys are smaller than one another: repeated rows with equal keys both stay.
     Texts shorter than ``size`` and empty ones stay whole. Columns of ``docs`` with the names of new ones are replaced. An
     empty table gives no rows. With ``characters``, kept also lacks the bytes of characters that a span cuts apart, so that
-    it is text again; the counts and spans are the same. Windows that no index settles are compared by 95 bits of hashes. ``size`` is from 32 to 1024.
+    it is text again; the counts and spans are the same. Windows that no index settles are compared by 80 bits of hashes. ``size`` is from 32 to 1024.
     """
     new = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
     names = [c for c in docs.columns if c != text and c not in new]
     rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1)).alias("doc"), F.col(text).cast("binary").alias("text"))
     homes = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // HOME_BYTES
-    home = F.pmod(F.xxhash64("doc"), F.lit(homes))
-    grams = rows.select("doc", "text").mapInArrow(_pick(size), "gram bigint, doc bigint, place int")
-    shared = written(grams.repartition("gram").sortWithinPartitions("gram", "doc", "place").mapInArrow(_elect, "doc bigint, place int, owner bigint"))
-    blocks = 1 + shared.where("doc = owner").count() * size // 2 // REFERENCE_BYTES
-    shared = shared.withColumn("block", F.pmod(F.xxhash64("owner"), F.lit(blocks))).withColumn("home", home)
-    salts = written(shared.where("doc <> owner").groupBy("block").agg(F.ceil(F.count("*") * size / 2 / QUERY_BYTES).cast("int").alias("salts")))
-    texts = rows.withColumn("home", home)
-    segments = texts.select("home", "doc", "text").groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(_segments(size), "block bigint, doc bigint, variant int, start int, bytes binary, anchors array<int>")
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = rows.select("doc", "text").mapInArrow(_pick(size, buckets), "key bigint, blob binary").repartition("key").select("blob")
+    sorted_grams = grams.mapInArrow(_grams, "gram bigint, doc bigint, place int").sortWithinPartitions("gram", "doc", "place")
+    shared = written(sorted_grams.mapInArrow(_elect(homes), "home bigint, blob binary, asked bigint"))
+    # A query segment adds about half a window for each of its places.
+    salts = F.ceil(F.sum("asked") * size / 2 / QUERY_BYTES).cast("int")
+    salts = written(shared.where("asked IS NOT NULL").groupBy(F.col("home").alias("block")).agg(salts.alias("salts")))
+    texts = rows.withColumn("home", F.pmod(F.xxhash64("doc"), F.lit(homes))).groupBy("home")
+    segments = texts.cogroup(shared.where("blob IS NOT NULL").select("home", "blob").groupBy("home")).applyInArrow(_segments(size, homes), "block bigint, doc bigint, variant int, start int, bytes binary, anchors array<int>")
     salt = F.when(F.col("anchors").isNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "variant", "start"), F.col("salts")).cast("int")))
-    dealt = segments.join(small_side(salts), "block").withColumn("salt", F.explode(salt)).drop("salts")
-    matched = dealt.groupBy("block", "salt").applyInArrow(_match(size), "one bigint, two bigint, doc bigint, variant int, start int, stop int")
-    marks = matched.repartition("one").sortWithinPartitions("one", "two", "doc").mapInArrow(_settle, "doc bigint, variant int, start int, stop int")
+    laid = segments.join(small_side(salts), "block").withColumn("salt", F.explode(salt)).drop("salts")
+    matched = laid.groupBy("block", "salt").applyInArrow(_match(size, buckets), "bucket bigint, blob binary, marked boolean")
+    windows = matched.repartition("bucket").select("blob", "marked").mapInArrow(_windows(size), "one bigint, two bigint, doc bigint, variant int, start int, stop int")
+    marks = windows.sortWithinPartitions("one", "two", "doc").mapInArrow(_settle(homes), "home bigint, blob binary")
     columns = [f"c{k}" for k in range(len(names))]
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns]
-    cut = texts.groupBy("home").cogroup(marks.withColumn("home", home).groupBy("home")).applyInArrow(_cut(columns, characters), ", ".join([*fields, "_bytes bigint, _removed bigint, _spans array<struct<start: bigint, stop: bigint>>, _kept binary"]))
+    cut = texts.cogroup(marks.groupBy("home")).applyInArrow(_cut(columns, characters), ", ".join([*fields, "_bytes bigint, _removed bigint, _spans array<struct<start: bigint, stop: bigint>>, _kept binary"]))
     return cut.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))
