@@ -33,7 +33,7 @@ def dealt(key: np.ndarray, columns: Sequence[np.ndarray], kinds: Sequence[str])
     steps[starts] = first[starts]
     sorted_ = [steps, *[c[order] for c in columns[1:]]]
     sorted_ = [c.astype(k) for c, k in zip(sorted_, ["<i8", *kinds[1:]], strict=True)]
-    ends = np.append(starts[1:], len(key))
+    ends = np.append(starts[1:], len(key))[:len(starts)]
     blobs = [packed([c[a:b] for c in sorted_]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(key[starts].astype(np.int64)), pa.array(blobs, pa.binary())], ["key", "blob"])
 
