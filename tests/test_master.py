@@ -45,6 +45,15 @@ def test_files_to_master(spark, tmp_path):
     assert calendar.where("holiday_yn = 1").isEmpty() and "hour_x" in calendar.columns
 
 
+def test_malformed_codes_are_dropped_alone(spark):
+    lines = [("1", "19501", 1.0), ("1", "xx", 5.0), ("2", "19503", 2.0), ("2", None, 5.0), ("3", "19549", 5.0)]
+    readings = spark.createDataFrame(lines, "id string, code string, value double")
+    allocations = spark.createDataFrame([(i, "1") for i in "123"], "id string, code string")
+    series = meter_series(readings.where("id <> '3'"), allocations)
+    assert rows(series.select("meter_id", "pos", "value"), "meter_id", "pos") == [(m, i, v) for m, v in (("1", 1.0), ("2", 2.0)) for i in range(3)]
+    assert dropped_readings(readings).first().dropped == 3
+
+
 def page(clocks):
     head = "".join(f"<th>{n}</th>" for n in WEATHER_HEADER)
     body = "".join(

@@ -1,12 +1,14 @@
 from pathlib import Path
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from wattloom.sources.pages import html_cells
+from wattloom.sources import tables
+from wattloom.sources.pages import html_cells, incomplete_rows
 from wattloom.sources.readings import materialise, read_allocations, read_readings, register
 from wattloom.sources.tables import (
-    append_missing, cluster_code, only_missing, read_parts, read_table, run_code, union_parts, write_run, write_table)
+    append_missing, cluster_code, only_missing, read_parts, read_run, read_table, run_code, union_parts, write_run, write_table)
 
 
 def test_readings_and_allocations(spark, tmp_path):
@@ -83,3 +85,29 @@ def test_html_cells_follow_the_header_of_each_page(spark):
     ]
     df = html_cells(spark.createDataFrame(pages, "id int, html string"), "html", ("A", "B"))
     assert rows(df, "id", "row") == [(1, 1, "1 2", "x & y"), (1, 2, "", "u"), (2, 1, "<i>", "v")]
+
+
+def test_html_cells_reads_the_observation_table_only(spark):
+    menu = "<table><tr><td>A</td><td>menu</td><td>x</td></tr></table>"
+    page = f"{menu}<table><tr><td colspan=2>title</td></tr><tr><th>B</th><th>A</th></tr><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>{menu}"
+    df = spark.createDataFrame([(1, page), (2, menu), (3, None)], "id int, html string")
+    assert rows(html_cells(df, "html", ("A", "B")), "id", "row") == [(1, 1, "2", "1"), (1, 2, None, "3")]
+    assert incomplete_rows(df, "html", ("A", "B")).first()[0] == 1
+
+
+def test_a_broken_run_leaves_no_rows_behind(spark, tmp_path, monkeypatch):
+    part, run = spark.createDataFrame([(1,)], "x int"), {"run_id": "r1", "model": "m", "season": "summer"}
+    write = tables.write_table
+
+    def broken(df, path, *args, **options):
+        if path.endswith("metrics"):
+            raise RuntimeError("lost")
+        write(df, path, *args, **options)
+
+    monkeypatch.setattr(tables, "write_table", broken)
+    with pytest.raises(RuntimeError):
+        write_run(str(tmp_path), run, part, part, part, part)
+    monkeypatch.setattr(tables, "write_table", write)
+    write_run(str(tmp_path), run, part, part, part, part)
+    assert read_table(spark, f"{tmp_path}/forecasts").count() == 2
+    assert all(read_run(spark, str(tmp_path), name).count() == 1 for name in tables.RUN_TABLES)

@@ -40,6 +40,12 @@ def test_lag_correlation_in_blocks(spark, length, max_lag, block):
         np.testing.assert_allclose(mine["corr"], want[s], atol=1e-9)
 
 
+def test_nulls_count_as_zero(spark):
+    df = spark.createDataFrame([(0, i, v, v) for i, v in enumerate([1.0, 2.0, None, 4.0])], "series_id int, pos long, a double, b double")
+    got = lag_correlation(df, 3, F.lit(4)).orderBy("lag")
+    assert [r["corr"] for r in got.collect()] == circular([1.0, 2.0, 0.0, 4.0], [1.0, 2.0, 0.0, 4.0]).tolist()
+
+
 def test_top_lags_softmax_roll(spark):
     df = spark.createDataFrame([([1.0, 5.0, 3.0, 5.0],)], "c array<double>")
     got = df.select(top_lags(F.col("c"), 3).alias("t"), softmax(F.col("c")).alias("s"), roll(F.col("c"), F.lit(1)).alias("r"),

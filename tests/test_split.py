@@ -58,6 +58,15 @@ def test_split_matches_lists(spark, season):
         check_season(split.season, ForecastConf(season=season, prev_times=400))
 
 
+def test_split_refuses_windows_across_a_gap_and_samples_by_seed(spark):
+    index = days_index(spark, dt.datetime(2009, 7, 14), 800)
+    with pytest.raises(ValueError, match="prev_times"):
+        Split(index, ForecastConf(prev_times=300, next_times=4))
+    conf = ForecastConf(prev_times=10, next_times=4, train_sample_ratio=0.5)
+    drawn = [[r.pos for r in Split(index, conf, seed=s).training_sample().collect()] for s in (0, 0, 1)]
+    assert drawn[0] == drawn[1] != drawn[2]
+
+
 def test_one_segment_season_is_valid(spark):
     index = index_of(spark, dt.datetime(2010, 6, 1), 100)
     conf = ForecastConf(prev_times=192)

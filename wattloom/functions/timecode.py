@@ -65,9 +65,9 @@ def encode_code(time: Column) -> Column:
 
 
 def off_grid(code: Column) -> Column:
-    """True for codes whose tick lies past the last half hour of a day; such readings match no grid row."""
+    """True for codes that match no grid row: malformed ones, and ticks before or past the half hours of a day."""
     tick = F.substring(code, 4, 10).try_cast("int")
-    return (tick < 1) | (tick > TICKS_PER_DAY)
+    return F.coalesce(decode_code(code).isNull() | (tick < 1) | (tick > TICKS_PER_DAY), F.lit(True))
 
 
 def time_grid(bounds: DataFrame, start: str, end: str, step_seconds: int = 1800, out: str = "time") -> DataFrame:

@@ -51,7 +51,7 @@ def lag_correlation(series: DataFrame, max_lag: int, length: Column, keys: Seque
                     block: int = 4096) -> DataFrame:
     """Circular correlation of whole series for lags 0..max_lag: keys, lag, corr.
 
-    Columns ``a`` and ``b`` at positions 0..length-1, max_lag below the length. The series is cut into blocks
+    Columns ``a`` and ``b`` at positions 0..length-1, max_lag below the length; a null counts as 0. The series is cut into blocks
     of b; each block also holds the max_lag values of a that follow it. A block adds up all its lags by itself,
     so a row is shuffled about twice, and one row per block and lag is added afterwards.
     """
@@ -64,9 +64,9 @@ def lag_correlation(series: DataFrame, max_lag: int, length: Column, keys: Seque
     ahead = turned.where(first <= last).withColumn("_blk", F.explode(F.sequence(first, last)))
     reach = F.least((F.col("_blk") + 1) * size, length) - 1 + max_lag
     ahead = ahead.where(F.col("_e") <= reach).select(
-        *keys, "_blk", F.col("_e").alias("_at"), F.col("a").cast("double").alias("_a"), F.lit(None).cast("double").alias("_b"))
+        *keys, "_blk", F.col("_e").alias("_at"), F.coalesce(F.col("a").cast("double"), F.lit(0.0)).alias("_a"), F.lit(None).cast("double").alias("_b"))
     own = series.select(*keys, F.floor(F.col("pos") / size).alias("_blk"), F.col("pos").alias("_at"),
-                        F.lit(None).cast("double").alias("_a"), F.col("b").cast("double").alias("_b"))
+                        F.lit(None).cast("double").alias("_a"), F.coalesce(F.col("b").cast("double"), F.lit(0.0)).alias("_b"))
     def ordered(c: str) -> Column:
         present = F.when(F.col(c).isNotNull(), F.struct("_at", c))
         return F.transform(F.sort_array(F.collect_list(present)), lambda s: s[c])

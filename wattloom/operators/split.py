@@ -120,12 +120,14 @@ def bootstrap_bases(train: DataFrame, n_bases: int, ratio: float, seed: int = 0)
 class Split:
     """Index sets of one configuration.
 
-    The ranked bases are computed once and written; everything else is a filter on them or on the season.
+    The ranked bases are computed once and written; everything else is a filter on them or on the season. Fails when a
+    window could reach across the gap between two segments of the season. ``seed`` is that of the training sample.
     """
 
-    def __init__(self, index: DataFrame, conf: ForecastConf, purge: bool = False):
-        self.conf = conf
+    def __init__(self, index: DataFrame, conf: ForecastConf, purge: bool = False, seed: int = 0):
+        self.conf, self.seed = conf, seed
         self.season = season_index(index, conf)
+        check_season(self.season, conf)
         ranks = cut_lineage(ranked(base_positions(self.season, conf.prev_times, conf.next_times)))
         self.bases = ranks.drop("_rank")
         self.start = ranked_split_point(ranks, conf)
@@ -136,10 +138,10 @@ class Split:
         first = late.agg(F.min("_rank").alias("r")).scalar()
         self.test = late.where((F.col("_rank") - first) % conf.next_times == 0).drop("_rank")
 
-    def training_sample(self, seed: int = 0) -> DataFrame:
+    def training_sample(self) -> DataFrame:
         if self.conf.train_sample_ratio >= 1:
             return self.train
-        return bootstrap_bases(self.train, self.bases.count(), self.conf.train_sample_ratio, seed)
+        return bootstrap_bases(self.train, self.bases.count(), self.conf.train_sample_ratio, self.seed)
 
     def base_roles(self) -> DataFrame:
         """Training and test bases in one table with a ``role`` column; a base can have both roles."""

@@ -153,7 +153,9 @@ def page_cells(spark, sf):
            "Condition": F.concat(F.lit("&lt;"), F.col("event_type"), F.lit("&gt; &amp; more")), "Wind": F.lit(" A\n  B ")}
     head = F.concat(*[F.lit(f"<th scope='col'>{n}</th>") for n in reversed(WEATHER_HEADER)])
     body = F.concat(*[F.concat(F.lit("<td class='c'>"), own.get(n, F.lit("-")), F.lit("</TD >")) for n in reversed(WEATHER_HEADER)])
-    pages = events.select("event_id", F.concat(F.lit("<table><tr>"), head, F.lit("</tr>\n<tr>"), body, F.lit("</tr></table>")).alias("html"))
+    other = F.lit("<table><tr><th>Menu</th><td>Time</td></tr></table>")
+    title = F.when(F.col("event_id") % 2 == 0, F.lit("<tr><td>Observations</td></tr>")).otherwise(F.lit(""))
+    pages = events.select("event_id", F.concat(other, F.lit("<table>"), title, F.lit("<tr>"), head, F.lit("</tr>\n<tr>"), body, F.lit("</tr></table>"), other).alias("html"))
     rows = html_cells(pages, "html").withColumnsRenamed(HTML_NAMES)
     return rows.select("event_id", "row", "time", "temperature", "condition", "wind")
 

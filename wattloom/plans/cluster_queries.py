@@ -11,7 +11,7 @@ from wattloom.plans.inputs import HOURLY_SPLIT_SQL, HOURLY_SQL, hourly_series, h
 from wattloom.plans.registry import query, rounded, table
 from wattloom.session import cut_lineage
 
-EPS, MIN_PTS = 0.02, 5
+EPS, MIN_PTS = 0.05, 5
 
 
 def meter_vectors(spark, sf):
@@ -48,12 +48,14 @@ def kmeans_embeddings(spark, sf):
 
 
 def plane(spark, sf):
-    vectors = table(spark, sf, "embeddings")
-    return vectors.select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    """Every vector as a whole, projected on two fixed waves over its components."""
+    wave = lambda f: array_sum(F.transform("embedding", lambda v, j: v.cast("double") * f(j.cast("double"))))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(wave(F.cos), 9).alias("x"), F.round(wave(F.sin), 9).alias("y"))
 
 
 NEAR_SQL = f"""
-    p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+    p AS (SELECT vec_id, round(sum(v * cos(j)), 9) AS x, round(sum(v * sin(j)), 9) AS y FROM (
+          SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(unnest(range(len(embedding))) AS DOUBLE) AS j FROM embeddings) GROUP BY 1),
     n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b
           ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {EPS * EPS!r}),
     core AS (SELECT a AS vec_id FROM n GROUP BY a HAVING count(*) >= {MIN_PTS}),

@@ -122,11 +122,16 @@ def with_calendar(totals: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def run_model(series: DataFrame, index: DataFrame, conf: ForecastConf, model: str, setup: ClusterSetup = ClusterSetup(),
-              seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """One run: cluster map, error row, timings and forecasts."""
+              rep: int = 0, found: tuple[DataFrame, dict] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One run: cluster map, error row, timings and forecasts.
+
+    Repetitions differ in their training sample, not in their clusters; ``found`` hands in clusters that an earlier run
+    of the same season and set-up has found, with their seconds.
+    """
     spark = series.sparkSession
-    split = Split(index, conf)
-    clusters, seconds = find_clusters(series, split, setup, seed)
+    split = Split(index, conf, seed=rep)
+    clusters, seconds = found or find_clusters(series, split, setup)
+    seconds = dict(seconds)
     begin = time.time()
     totals, features = with_calendar(cut_lineage(cluster_totals(series, clusters)))
     forecasts = cut_lineage(attach_actuals(forecast_model(totals, split, model, features), totals))
@@ -149,10 +154,14 @@ def run_grid(series: DataFrame, index: DataFrame, settings: DataFrame, root: str
     except Exception as error:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    pending = settings.orderBy("run_id").collect()
+    pending = settings.orderBy("season", "n_cluster", "method", "reduction", "dims", "run_id").collect()
+    known, found = None, None
     for row in pending:
         setup = ClusterSetup(row["n_cluster"], row["method"], row["reduction"], row["dims"])
-        parts = run_model(series, index, replace(conf, season=row["season"]), row["model"], setup, int(row["rep"]))
+        season = replace(conf, season=row["season"])
+        if known != (row["season"], setup):  # clusters are found once for all models and repetitions
+            known, found = (row["season"], setup), find_clusters(series, Split(index, season), setup)
+        parts = run_model(series, index, season, row["model"], setup, int(row["rep"]), found)
         stamp = {"run_id": row["run_id"], "run_code": row["run_code"], "model": row["model"], "season": row["season"],
                  "run_time": time.strftime("%Y%m%d%H%M%S", time.gmtime())}
         clusters, errors, timings, forecasts = parts

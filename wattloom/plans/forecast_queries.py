@@ -198,7 +198,7 @@ def forecast_gbt(spark, sf):
 @query("forecast_huber")
 def forecast_huber(spark, sf):
     totals, train, test = daily_samples(spark, sf)
-    return result(fc.forecast_huber(train, test, SUMMER.next_times, max_iter=20), totals, 1)
+    return result(fc.forecast_huber(train, test, SUMMER.next_times), totals, 1)
 
 
 RUN_MODELS = ("persistence", "ar")

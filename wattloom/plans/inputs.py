@@ -14,7 +14,8 @@ from wattloom.operators.split import Split
 from wattloom.plans.registry import table
 
 HOUR, DAY = 3600, 86400
-MONEY = "decimal(18,2)"
+# Eight bytes with six decimals: sums are exact and no digit of the readings is lost.
+MONEY = "decimal(18,6)"
 
 HOURLY = ForecastConf(season="winter")
 DAILY = {s: ForecastConf(season=s, prev_times=28, next_times=7) for s in ("summer", "winter")}

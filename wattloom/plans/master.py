@@ -22,15 +22,17 @@ def meter_series(readings: DataFrame, allocations: DataFrame, codes: Sequence[st
                  order: Sequence[str] = ("value",)) -> DataFrame:
     """Half-hour series of all meters of the given classes: meter_id, pos, time, value.
 
-    Of several readings with one code the first by ``order`` counts. Readings whose tick lies past the day
-    match no grid step and are dropped; a meter that has only such readings stays, without values.
+    Of several readings with one code the first by ``order`` counts. Readings whose code is malformed or whose tick lies
+    past the day match no grid step and are dropped (``dropped_readings`` counts them); a meter that has only such
+    readings stays, without values. The grid runs over the codes that can be decoded.
 
     Copies are combined before anything is joined: then a meter has one row per code, and no key is hot.
     """
     meters = allocations.where(F.col("code").isin(*codes)).select("id").distinct()
     columns = ["id", "code", "value", *[c for c in order if c not in ("id", "code", "value")]]
     firsts = first_per_key(readings.select(*columns), ("id", "code"), order).join(meters, "id", "left_semi")
-    ranges = readings.groupBy("id").agg(F.min("code").alias("a"), F.max("code").alias("z")).join(meters, "id", "left_semi")
+    sound = F.when(decode_code(F.col("code")).isNotNull(), F.col("code"))
+    ranges = readings.groupBy("id").agg(F.min(sound).alias("a"), F.max(sound).alias("z")).join(meters, "id", "left_semi")
     lo = ranges.agg(step_index(decode_code(F.min("a")), STEP).alias("lo")).scalar()
     hi = ranges.agg(step_index(decode_code(F.max("z")), STEP).alias("hi")).scalar()
     placed = firsts.select(

@@ -10,13 +10,12 @@ from wattloom.operators.ordered import even_block, positions
 from wattloom.operators.series import (
     code_range, day_lags, distinct_ids, first_per_key, first_steps, sample_meters, to_daily, to_hourly, to_long, to_wide)
 from wattloom.plans.inputs import HOURLY_SQL, HOURLY_TOTAL_SQL, filled_sql, hourly_series, hourly_totals, readings
-from wattloom.plans.master import meter_series
+from wattloom.plans.master import dropped_readings, meter_series
 from wattloom.plans.registry import query, rounded, table, text_time
 from wattloom.sources.tables import only_missing, union_parts
 
 # Fixed value: days from the first day of the code calendar to the first day of the events.
 CODE_SHIFT = 5478
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 CODE_SQL = """
     lpad(CAST(date_diff('day', DATE '2009-01-01', CAST(ts - INTERVAL 5478 DAY AS DATE)) + 1 AS VARCHAR), 3, '0')
@@ -114,12 +113,9 @@ def missing_dates(spark, sf):
 @query("union_parts", """
     SELECT event_id, event_type, value, CASE WHEN event_type = 'error' THEN props END AS note FROM events""")
 def stacked_parts(spark, sf):
-    events = table(spark, sf, "events")
-    parts = []
-    for kind in EVENT_TYPES:
-        part = events.where(F.col("event_type") == kind).select("event_id", "event_type", "value", "props")
-        parts.append(part.withColumnRenamed("props", "note") if kind == "error" else part.drop("props"))
-    return union_parts(parts)
+    events = table(spark, sf, "events").select("event_id", "event_type", "value", "props")
+    noted = F.col("event_type").eqNullSafe("error")
+    return union_parts([events.where(noted).withColumnRenamed("props", "note"), events.where(~noted).drop("props")])
 
 
 @query("reading_positions", """
@@ -148,8 +144,9 @@ def lagged_days(spark, sf):
 def unpivot_types(spark, sf):
     rows = readings(spark, sf).withColumn("meter_id", F.col("event_type"))
     days = to_daily(rows).withColumn("value", F.col("value").cast("double"))
-    wide = to_wide(days, EVENT_TYPES, ("date",))
-    return text_time(to_long(wide, [f"h{t}" for t in EVENT_TYPES], ("date",)).dropna(), "date")
+    types = [r["event_type"] for r in table(spark, sf, "events").select("event_type").distinct().dropna().orderBy("event_type").collect()]
+    wide = to_wide(days, types, ("date",))
+    return text_time(to_long(wide, [f"h{t}" for t in types], ("date",)).dropna(), "date")
 
 
 @query("first_300", f"""
@@ -180,3 +177,28 @@ def master_series(spark, sf):
     allocations = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("code"))
     rows = coded(spark, sf).withColumn("value", F.col("value").cast("double"))
     return text_time(meter_series(rows, allocations, ("BUILDING", "HOUSEHOLD"), ("event_id",)), "time")
+
+
+# Every 97th code is no code; every 89th, but for the last day, has a tick past the day.
+BAD_SQL = "event_id % 97 = 0 OR event_id % 89 = 0 AND ts < TIMESTAMP '2024-01-30'"
+
+
+def badly_coded(spark, sf):
+    day = F.substring("code", 1, 3)
+    late = (F.col("event_id") % 89 == 0) & (day < "030")
+    code = F.when(F.col("event_id") % 97 == 0, "xx").when(late, F.concat(day, F.lit("49"))).otherwise(F.col("code"))
+    return coded(spark, sf).withColumns({"code": code, "value": F.col("value").cast("double")})
+
+
+@query("dropped_readings", f"SELECT count(*) AS dropped FROM events WHERE {BAD_SQL}")
+def dropped(spark, sf):
+    return dropped_readings(badly_coded(spark, sf))
+
+
+@query("bad_code_series", "WITH " + filled_sql("""
+    SELECT user_id AS meter_id, time_bucket(INTERVAL 30 MINUTE, min(ts)) - INTERVAL 5478 DAY AS time, arg_min(value, event_id) AS value
+    FROM events WHERE NOT (""" + BAD_SQL + """) GROUP BY user_id, time_bucket(INTERVAL 30 MINUTE, ts)""", 1800) + """
+    SELECT meter_id, pos, CAST(time AS VARCHAR) AS time, value FROM filled""")
+def series_with_bad_codes(spark, sf):
+    rows = badly_coded(spark, sf)
+    return text_time(meter_series(rows, rows.select("id").distinct().withColumn("code", F.lit("1")), order=("event_id",)), "time")

@@ -13,7 +13,7 @@ from wattloom.plans.inputs import (
 from wattloom.plans.registry import query, rounded
 from wattloom.session import cut_lineage
 
-LENGTH, MAX_LAG = 192, 168
+LENGTH = 192
 TOP = top_count(LENGTH)
 
 # windows of log totals per test base and segment, correlated with themselves
@@ -33,12 +33,12 @@ def windows(spark, sf, by_segment: bool = True):
 @query("autocorr_lags", f"""
     WITH {HOURLY_TOTAL_SQL}, n AS (SELECT count(*) AS n FROM series)
     SELECT lag, round(sum(ln(1 + x.value) * ln(1 + y.value)), 6) AS corr
-    FROM (SELECT unnest(generate_series(0, {MAX_LAG})) AS lag), n, series y JOIN series x ON x.pos = (y.pos + lag) % n GROUP BY 1""")
+    FROM (SELECT unnest(generate_series(0, (SELECT count(*) FROM series) - 1)) AS lag), n, series y JOIN series x ON x.pos = (y.pos + lag) % n GROUP BY 1""")
 def autocorr_lags(spark, sf):
     totals = hourly_totals(spark, sf)
     length = totals.agg(F.count("*").alias("n")).scalar()
     series = totals.select(F.col("clust_id").alias("series_id"), "pos", F.log1p("value").alias("a"), F.log1p("value").alias("b"))
-    return rounded(lag_correlation(series, MAX_LAG, length), 6, "corr").select("lag", "corr")
+    return rounded(lag_correlation(series, totals.count() - 1, length), 6, "corr").select("lag", "corr")
 
 
 @query("window_autocorr", f"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from wattloom.operators.forecast import window_samples
 from wattloom.operators.series import cluster_totals, decompose, seasonal_lags
-from wattloom.operators.split import (
-    bootstrap_bases, except_positions, intersect_positions, season_gaps, season_index)
+from wattloom.operators.split import Split, except_positions, intersect_positions, season_gaps, season_index
 from wattloom.operators.windows import array_sum, decoder_seed, gather, horizon_targets, sequence_window
 from wattloom.plans.inputs import (
     DAILY, DAILY_TOTAL_SQL, HOURLY, HOURLY_SPLIT_SQL, HOURLY_TOTAL_SQL, SEGMENT_TOTAL_SQL, daily_index, daily_series,
@@ -81,15 +82,20 @@ def position_sets(spark, sf):
     return both_seasons(run)
 
 
-@query("bootstrap_bases", f"""
-    WITH {DAILY_TOTAL_SQL}, {split_sql(DAILY["summer"])},
+def bootstrap_sql(seed: int) -> str:
+    return f"""
+    SELECT {seed} AS seed, pos FROM (WITH {DAILY_TOTAL_SQL}, {split_sql(DAILY["summer"])},
     ranked AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS rn FROM train),
-    draws AS (SELECT CAST('0x' || substr(md5(i || ':0'), 1, 15) AS BIGINT) % (SELECT count(*) FROM train) AS rn
+    draws AS (SELECT CAST('0x' || substr(md5(i || ':{seed}'), 1, 15) AS BIGINT) % (SELECT count(*) FROM train) AS rn
               FROM (SELECT unnest(generate_series(0, (SELECT count(*) // 2 FROM bases) - 1)) AS i))
-    SELECT pos FROM draws JOIN ranked USING (rn)""")
+    SELECT pos FROM draws JOIN ranked USING (rn))"""
+
+
+@query("bootstrap_bases", f"{bootstrap_sql(0)} UNION ALL {bootstrap_sql(1)}")
 def bootstrap(spark, sf):
-    split = daily_split(spark, sf, "summer")
-    return bootstrap_bases(split.train, split.bases.count(), 0.5).select("pos")
+    conf = replace(DAILY["summer"], train_sample_ratio=0.5)
+    parts = [Split(daily_index(spark, sf), conf, seed=s).training_sample().select(F.lit(s).alias("seed"), "pos") for s in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
 @query("horizon_targets", f"""

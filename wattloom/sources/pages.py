@@ -28,25 +28,52 @@ def _cell_texts(cells: Column) -> Column:
     return F.transform(F.split(text, SEPARATOR), lambda c: F.trim(c))
 
 
+def _header_at(cells: Column, header: Sequence[str]) -> Column:
+    """Place (from 0) of the first ``len(header)`` cells that are exactly the header's names, in any order; null without."""
+    names, width = F.array(*map(F.lit, header)), len(header)
+    spots = F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size(cells) - width, F.lit(0))),
+        lambda k: F.size(F.array_except(names, F.slice(cells, k + 1, width))) == 0)
+    return F.try_element_at(spots, F.lit(1))
+
+
+def _observation_tables(df: DataFrame, html: str, header: Sequence[str]) -> DataFrame:
+    """Per page the cells of the table that holds the header (_cells) and where the header starts in it (_at)."""
+    kept = [c for c in df.columns if c != html]
+    cells = F.transform(
+        F.split(F.col(html), r"(?i)</table\s*>"),
+        lambda part: _cell_texts(F.regexp_extract_all(part, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), F.lit(1))))
+    tables = df.select(*kept, cells.alias("_tables"))
+    # the first table with all names; only its cells go on
+    held = tables.select(*kept, F.try_element_at(F.filter("_tables", lambda t: _header_at(t, header).isNotNull()), F.lit(1)).alias("_cells"))
+    return held.select(*kept, "_cells", _header_at(F.col("_cells"), header).alias("_at"))
+
+
 def html_cells(df: DataFrame, html: str, header: Sequence[str] = WEATHER_HEADER) -> DataFrame:
-    """Table cells of each page, in document order, as rows under the page's own header row.
+    """Cells of the observation table of each page, in document order, as rows under the page's own header row.
 
-    The first ``len(header)`` cells name the columns of that page, so pages may order them differently.
-    Everything happens inside the row of the page: no shuffle, and pages of any number are independent.
+    The observation table is the first one with ``len(header)`` consecutive cells that are the header's names, in any
+    order; cells before them and other tables of the page do not count. A page without such a table gives no rows. In an
+    incomplete last row the missing cells are null; ``incomplete_rows`` counts such pages. Everything happens inside the
+    row of the page: no shuffle, and pages of any number are independent.
     """
     width = len(header)
-    raw = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), F.lit(1))
     kept = [c for c in df.columns if c != html]
-    cells = df.select(*kept, _cell_texts(raw).alias("_cells"))
-    named = cells.select(
-        *kept, "_cells", F.slice("_cells", 1, width).alias("_head"),
-        F.floor(F.size("_cells") / width).cast("int").alias("_rows"))
+    named = _observation_tables(df, html, header).select(
+        *kept, "_cells", "_at", F.slice("_cells", F.col("_at") + 1, F.lit(width)).alias("_head"),
+        F.ceil((F.size("_cells") - F.col("_at")) / width).cast("int").alias("_rows"))
     # an outer explode, filtered afterwards: no filter moves below it, so pages are matched once
     body = F.when(F.col("_rows") > 1, F.sequence(F.lit(1), F.col("_rows") - 1))
-    rows = named.select(*kept, "_head", "_cells", F.explode_outer(body).alias("row")).where(F.col("row").isNotNull())
-    row = rows.select(*kept, "row", "_head", F.slice("_cells", F.col("row") * width + 1, F.lit(width)).alias("_row"))
+    rows = named.select(*kept, "_head", "_cells", "_at", F.explode_outer(body).alias("row")).where(F.col("row").isNotNull())
+    row = rows.select(*kept, "row", "_head", F.slice("_cells", F.col("_at") + F.col("row") * width + 1, F.lit(width)).alias("_row"))
 
     def cell(name: str) -> Column:
         return F.try_element_at("_row", F.nullif(F.array_position("_head", F.lit(name)).cast("int"), F.lit(0)))
 
     return row.select(*kept, "row", *[cell(name).alias(name) for name in header])
+
+
+def incomplete_rows(df: DataFrame, html: str, header: Sequence[str] = WEATHER_HEADER) -> DataFrame:
+    """Number of pages whose observation table ends in an incomplete row."""
+    tables = _observation_tables(df, html, header)
+    return tables.where((F.size("_cells") - F.col("_at")) % len(header) != 0).agg(F.count("*").alias("incomplete"))

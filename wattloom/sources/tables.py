@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN_TABLES = ("clusters", "metrics", "timings", "forecasts")
+# In the order in which they are written: a run with metrics is complete.
+RUN_TABLES = ("clusters", "timings", "forecasts", "metrics")
 
 
 def write_table(df: DataFrame, path: str, keys: Sequence[str] = (), mode: str = "overwrite",
-                files_per_key: int = 16) -> None:
+                rows_per_file: int = 1 << 22) -> None:
     """Write Parquet, partitioned by low-cardinality keys such as a month, never by meter.
 
-    Rows are spread over ``files_per_key`` files within each key, so that one large key is
-    written by several tasks while small keys do not leave a file per task.
+    Each key gets as many tasks and files as its rows need: keys are counted first, and their rows spread by a hash.
     """
     if not keys:
         df.write.mode(mode).parquet(path)
         return
     rest = [c for c in df.columns if c not in keys]
-    salt = F.pmod(F.xxhash64(*rest), F.lit(files_per_key)) if rest else F.lit(0)
-    spread = df.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt")
+    counts = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files"))
+    same = [F.col(f"_d.{k}").eqNullSafe(F.col(f"_n.{k}")) for k in keys]
+    sized = df.alias("_d").join(counts.alias("_n"), same).select("_d.*", "_n._files")
+    salt = F.pmod(F.xxhash64(*rest), F.col("_files")) if rest else F.lit(0)
+    spread = sized.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt", "_files")
     spread.write.mode(mode).partitionBy(*keys).parquet(path)
 
 
@@ -84,8 +88,18 @@ def write_run(root: str, run: dict, clusters: DataFrame, metrics: DataFrame, tim
               forecasts: DataFrame) -> None:
     """Append the four result tables of one run; run settings become columns.
 
-    ``run`` holds at least ``run_id``, ``model`` and ``season``; tables are partitioned by model and season.
+    ``run`` holds at least ``run_id``, ``model`` and ``season``; tables are partitioned by model and season. Every row
+    has the number of its attempt, and metrics come last: an attempt that broke off has none, and ``read_run`` leaves its
+    rows out.
     """
-    for name, table in zip(RUN_TABLES, (clusters, metrics, timings, forecasts)):
-        stamped = table.withColumns({k: F.lit(v) for k, v in run.items()})
+    stamp = {**run, "attempt": uuid.uuid4().hex}
+    tables = {"clusters": clusters, "timings": timings, "forecasts": forecasts, "metrics": metrics}
+    for name in RUN_TABLES:
+        stamped = tables[name].withColumns({k: F.lit(v) for k, v in stamp.items()})
         write_table(stamped, f"{root}/{name}", ("model", "season"), mode="append")
+
+
+def read_run(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Rows of a result table that belong to complete attempts; of several complete ones of a run the first by number."""
+    done = spark.read.parquet(f"{root}/metrics").groupBy("run_id").agg(F.min("attempt").alias("attempt"))
+    return spark.read.parquet(f"{root}/{name}").join(done, ["run_id", "attempt"], "left_semi")
