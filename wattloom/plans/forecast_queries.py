@@ -21,7 +21,7 @@ from wattloom.session import cut_lineage
 
 FLAGS = [f"CAST(isodow(time) = {k} AS INTEGER)" for k in range(1, 7)]
 HOUR_CYCLE = [f"{f}({2 * math.pi!r} * hour(time) / 24.0)" for f in ("sin", "cos")]
-RBF_COUNT, RBF_RIDGE = 32, 1.0
+RBF_COUNT, RBF_RIDGE = 64, 1.0
 
 
 def roles_sql() -> str:
