@@ -103,9 +103,7 @@ def vectors_of(spark, x):
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "meter_id long, profile array<double>")
 
 
-@pytest.mark.parametrize("columns", [2048, 10])
-def test_pca_matches_numpy(spark, monkeypatch, columns):
-    monkeypatch.setattr(cl, "GRAM_COLUMNS", columns)
+def test_pca_matches_numpy(spark):
     x = np.random.default_rng(2).normal(size=(40, 12)) @ np.diag(np.linspace(5, 0.5, 12)) + 3
     got = cl.reduce_pca(vectors_of(spark, x), 2).orderBy("meter_id").toPandas()["reduced"]
     centred = x - x.mean(0)
@@ -127,3 +125,23 @@ def test_profiles_and_kmeans(spark):
 def test_relabel(spark):
     df = spark.createDataFrame([(1, 7), (2, 3), (3, 7), (0, 5)], "meter_id int, clust_id int")
     assert rows(cl.relabel(df).select("meter_id", "clust_id"), "meter_id") == [(0, 0), (1, 1), (2, 2), (3, 1)]
+
+
+def test_kmeans_does_not_depend_on_partitions(spark):
+    xy = np.random.default_rng(4).normal(size=(300, 3))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(xy)], "meter_id long, reduced array<double>")
+    found = [rows(cl.cluster_kmeans(df.repartition(n), 5).select("meter_id", "clust_id"), "meter_id") for n in (2, 7)]
+    assert found[0] == found[1] and len({c for _, c in found[0]}) == 5
+
+
+def test_meters_without_values_have_no_profile(spark):
+    series = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, None), ("b", 1, None)], "meter_id string, pos long, value double")
+    train = spark.range(2).withColumnRenamed("id", "pos")
+    assert [r.meter_id for r in cl.profiles(series, train).collect()] == ["a"]
+    assert [r.meter_id for r in cl.meters_without_values(series).collect()] == ["b"]
+
+
+def test_reduced_vectors_of_low_rank(spark):
+    df = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0]) for i in range(4)], "meter_id long, profile array<double>")
+    got = [r.reduced for r in cl.reduce_pca(df, 2).orderBy("meter_id").collect()]
+    assert np.allclose([g[1] for g in got], 0) and np.allclose(np.diff([g[0] for g in got]), 5**0.5)

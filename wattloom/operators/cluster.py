@@ -14,36 +14,39 @@ from pyspark.sql import functions as F
 
 from wattloom.operators.windows import dot
 
-GRAM_COLUMNS = 2048
+# Rows of a partition when the order of rows must not matter, about.
+PART_ROWS = 1 << 17
 
 
 def profiles(series: DataFrame, train: DataFrame, key: str = "meter_id", value: str = "value") -> DataFrame:
     """Per meter the array of log(value + 1) over the training positions, in position order.
 
-    A profile is as long as the training period, whatever the number of meters.
+    A profile is as long as the training period, whatever the number of meters. Meters without any value have none and
+    are left out; ``meters_without_values`` lists them.
     """
-    rows = series.join(train.select("pos"), "pos", "left_semi")
+    rows = series.where(F.col(value).isNotNull()).join(train.select("pos"), "pos", "left_semi")
     step = F.struct("pos", F.log1p(value).alias("v"))
     return rows.groupBy(key).agg(
         F.transform(F.sort_array(F.collect_list(step)), lambda s: s["v"]).alias("profile"))
 
 
+def meters_without_values(series: DataFrame, key: str = "meter_id", value: str = "value") -> DataFrame:
+    """Meters that no profile, cluster or forecast can include."""
+    return series.groupBy(key).agg(F.count(value).alias("_n")).where("_n = 0").select(key)
+
+
 def reduce_pca(vectors: DataFrame, k: int = 2, column: str = "profile", out: str = "reduced") -> DataFrame:
-    """Coordinates on the first k principal components.
+    """Coordinates on the first k principal components, from a distributed SVD of the centred vectors.
 
-    Short vectors: one pass adds up the products of the centred columns, a matrix of at most GRAM_COLUMNS
-    squared. Longer vectors: a distributed SVD that keeps k vectors only. Each component is turned so that its
-    largest loading is positive.
+    Each component is turned so that its largest loading is positive. Components that the vectors do not span are 0.
     """
     whole = vectors.withColumn("_v", array_to_vector(column))
     model = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(whole)
     centred = model.transform(whole)
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(centred.select("_c"), "_c"))
-    if model.mean.size <= GRAM_COLUMNS:
-        _, axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        loadings = axes[:, ::-1][:, :k].T
-    else:
-        loadings = matrix.computeSVD(k).V.toArray().T
+    found = matrix.computeSVD(min(k, model.mean.size)).V.toArray().T
+    loadings = np.zeros((k, model.mean.size))
+    loadings[:len(found)] = found
     turned = [(v if v[abs(v).argmax()] > 0 else -v).tolist() for v in loadings]
     spark = vectors.sparkSession
     parts = spark.createDataFrame([(turned, model.mean.toArray().tolist())], "axes array<array<double>>, mean array<double>")
@@ -62,7 +65,12 @@ def relabel(labelled: DataFrame, key: str = "meter_id", label: str = "clust_id")
 
 def cluster_kmeans(features: DataFrame, k: int, seed: int = 0, key: str = "meter_id", column: str = "reduced",
                    max_iter: int = 50) -> DataFrame:
-    """k-means labels: key, clust_id."""
-    rows = features.select(key, array_to_vector(column).alias("_v"))
+    """k-means labels: key, clust_id.
+
+    The starting centres depend on how rows are dealt; rows are therefore dealt by their key first, into as many
+    partitions as their number asks for, so that the labels do not depend on the partitioning of the input.
+    """
+    parts = 1 + features.count() // PART_ROWS
+    rows = features.select(key, array_to_vector(column).alias("_v")).repartition(parts, key).sortWithinPartitions(key)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol="clust_id").fit(rows)
     return relabel(model.transform(rows).select(key, "clust_id"), key)

@@ -98,7 +98,8 @@ def forecast_meters(series: DataFrame, clusters: DataFrame, samples: DataFrame,
     for row in clusters.groupBy("clust_id").agg(F.count("*").alias("n")).collect():
         mine = F.col("clust_id") == F.lit(row["clust_id"])
         members = clusters.where(mine).select(key)
-        rows, asked = series.join(members, key, "left_semi"), samples.where(mine)
+        known = series.where(F.col(value).isNotNull())  # a meter without values is no feature
+        rows, asked = known.join(members, key, "left_semi"), samples.where(mine)
         if bases <= min(limit, max(row["n"], limit // 4)):
             made = _over_meters(rows, asked, key, value, ridge)
         elif row["n"] <= limit:
