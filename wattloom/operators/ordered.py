@@ -22,10 +22,13 @@ def number_block(order: str, size: int = BLOCK) -> Column:
     return F.floor(F.col(order) / size)
 
 
-def even_block(df: DataFrame, order: str, parts: int = 1 << 14) -> Column:
-    """Block that cuts the range of an integer order column into equal parts, whatever its length."""
-    lo, hi = df.agg(F.min(order).alias("lo")).scalar(), df.agg(F.max(order).alias("hi")).scalar()
-    return F.floor((F.col(order) - lo) / F.ceil((hi - lo + 1) / parts))
+def even_block(df: DataFrame, order: str, rows: int = BLOCK) -> Column:
+    """Block that cuts the range of an integer order column into equal parts of about ``rows`` rows each.
+
+    Summaries have one row per group and block, so their number follows that of the groups, not of the rows.
+    """
+    lo, hi, n = (df.agg(f.alias("x")).scalar() for f in (F.min(order), F.max(order), F.count("*")))
+    return F.floor((F.col(order) - lo) / F.ceil((hi - lo + 1) / F.greatest(F.lit(1), F.ceil(n / rows))))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str = "pos") -> DataFrame:

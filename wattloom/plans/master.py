@@ -57,10 +57,13 @@ def calendar_table(bounds: DataFrame, climate: DataFrame, holidays: DataFrame |
 
 
 def hourly_master(series: DataFrame) -> DataFrame:
-    """Hourly series of every meter, with hourly grid positions."""
-    hours = to_hourly(series.select("meter_id", "time", "value"))
-    lo = series.agg(step_index(F.min("time"), 3600).alias("lo")).scalar()
-    return hours.select("meter_id", (step_index(F.col("time"), 3600) - lo).alias("pos"), "time",
+    """Hourly series of every meter, with hourly grid positions.
+
+    Every row knows where its grid starts (its step less its position), so the series is computed once.
+    """
+    start = F.floor((step_index(F.col("time"), STEP) - F.col("pos")) * STEP / 3600)
+    hours = to_hourly(series.select("meter_id", "time", "value", start.alias("_start")), firsts=("_start",))
+    return hours.select("meter_id", (step_index(F.col("time"), 3600) - F.col("_start")).alias("pos"), "time",
                         F.col("value").cast("double").alias("value"))
 
 
