@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers serve one stage after another, and what the allocators of one
+    hold back would count against the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def packed(columns: Sequence[np.ndarray]) -> bytes:
     """Columns one after the other, each as its lowest bytes, then its next ones, and so on."""
     return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns)

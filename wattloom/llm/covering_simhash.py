@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.llm.blobs import give_back
 from wattloom.operators.components import components
 from wattloom.session import cut_lineage
 
@@ -53,6 +54,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
         for batch in batches:
             found = np.fromiter((fingerprint(t or b"", shingle, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["key", "fp"])
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -100,6 +102,7 @@ def _links(radius: int):
                 yield close(held[:starts[-1]])
                 held = held[starts[-1]:]
         yield close(held)
+        give_back()
 
     def close(rows: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(rows), bool)

@@ -17,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.blobs import dealt, gathered, xxhash_long
+from wattloom.llm.blobs import dealt, gathered, give_back, xxhash_long
 from wattloom.llm.common import small_side, written
 from wattloom.llm.rl_index import RunIndex
 
 GRAM = 26
-#: Text bytes of a group of documents, reference bytes of a block, and query bytes of a block: sizes of tasks, about.
-HOME_BYTES, REFERENCE_BYTES, QUERY_BYTES = 8 << 20, 1 << 20, 16 << 20
+#: Text bytes of a group of documents, and query bytes of a part of a block, about.
+HOME_BYTES, QUERY_BYTES = 4 << 20, 16 << 20
 #: Pattern bytes that are streamed as one, and text bytes that are hashed at a time.
-PIECE, SLAB = 256, 4 << 20
+PIECE, SLAB = 256, 1 << 20
 #: Rows that a task holds before it deals them out.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 18
 _NONE = np.uint64(2**64 - 1)
 #: Kinds of the numbers in blobs: grams by bucket, shared places by home, open windows by bucket, marks by home.
 _GRAMS = ("<i8", "<u2", "<u4", "<i4")
@@ -115,6 +115,7 @@ def _pick(size: int, buckets: int):
                 at, grams = winnow(text, ends, size)
                 grams = grams >> np.uint64(16)  # 48 bits tell grams apart well enough: what they find is compared byte by byte
                 yield dealt((grams % np.uint64(buckets)).astype(np.int64), [docs[slab][owner[at]], (grams >> np.uint64(32)), grams & np.uint64(0xFFFFFFFF), at - first[owner[at]]], _GRAMS)
+        give_back()
 
     return run
 
@@ -183,6 +184,7 @@ def _elect(homes: int):
         if rows:
             yield out()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.nulls(len(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["home", "blob", "asked"])
+        give_back()
 
     return run
 
@@ -259,6 +261,8 @@ def _match(size: int, buckets: int):
                 for found, kinds, by in ((marks, _MARKS, xxhash_long(marks[0])), (left, _OPEN, left[1])):
                     batch = dealt(by % buckets, found, kinds)
                     out.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array([kinds is _MARKS] * batch.num_rows, pa.bool_())], ["bucket", "blob", "marked"]))
+            del index, texts, references, queries
+        give_back()
         return pa.Table.from_batches(out)
 
     return run
@@ -272,8 +276,8 @@ def _open_and_marked(index: RunIndex, queries: pa.Table, texts: list[bytes], siz
     step = PIECE - size + 1
     cuts = [(a + k, min(a + k + PIECE, a + len(t))) for a, t in zip(first.tolist(), texts, strict=True) for k in range(0, max(1, len(t) - size + 1), step)]
     cuts.sort(key=lambda c: c[0] - c[1])
-    for begin in range(0, len(cuts), 1 << 14):
-        part = np.array(cuts[begin:begin + (1 << 14)])
+    for begin in range(0, len(cuts), 1 << 13):
+        part = np.array(cuts[begin:begin + (1 << 13)])
         lengths = part[:, 1] - part[:, 0]
         width = int(lengths[0])
         places = part[:, 1, None] - width + np.arange(width)[None, :]
@@ -347,6 +351,7 @@ def _settle(homes: int):
                 parts, rows = [], 0
         if rows:
             yield _dealt_home(parts, homes, _MARKS)
+        give_back()
 
     return run
 
