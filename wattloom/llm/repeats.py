@@ -268,24 +268,41 @@ def _match(size: int, buckets: int):
     return run
 
 
+def _stream(index: RunIndex, text: np.ndarray, cuts: list[tuple[int, int]], smallest: np.ndarray) -> None:
+    """Sets ``smallest`` at every place of the cuts where a whole window matches; equal pieces are streamed once."""
+    data, number = text.tobytes(), {}
+    which = np.array([number.setdefault(data[a:b], len(number)) for a, b in cuts], np.int64)
+    starts = np.array([a for a, _ in cuts], np.int64)
+    pieces = list(number)
+    order = np.array(sorted(range(len(pieces)), key=lambda k: -len(pieces[k])), np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    by_rank = np.argsort(rank[which], kind="stable")
+    sorted_rank = rank[which][by_rank]
+    for begin in range(0, len(order), 1 << 13):
+        part = [pieces[k] for k in order[begin:begin + (1 << 13)]]
+        lengths = np.array([len(p) for p in part], np.int64)
+        width = len(part[0])
+        patterns = np.frombuffer(b"".join(p.rjust(width, b"\0") for p in part), np.uint8).reshape(-1, width)
+        found = np.full(patterns.shape, np.iinfo(np.int64).max)
+        for place, lanes, rows, matched in index.matching(patterns, lengths):
+            full = np.flatnonzero(matched == index.depth)
+            if len(full):
+                found[full, place] = index.smallest_owner(rows[full])
+        lo, hi = np.searchsorted(sorted_rank, [begin, begin + len(part)])
+        for block in range(lo, hi, 1 << 13):
+            cut = by_rank[block:min(block + (1 << 13), hi)]
+            lane = rank[which[cut]] - begin
+            at, place = np.nonzero(found[lane] != np.iinfo(np.int64).max)
+            smallest[starts[cut][at] + place - (width - lengths[lane[at]])] = found[lane[at], place]
+
+
 def _open_and_marked(index: RunIndex, queries: pa.Table, texts: list[bytes], size: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Marks (doc, variant, start, stop) and open windows (doc, two hashes, variant, start)."""
     text, owner, ends, first = _laid(texts)
     docs, variants, starts = (queries[c].to_numpy().astype(np.int64) for c in ("doc", "variant", "start"))
     smallest = np.full(len(text), np.iinfo(np.int64).max)
-    step = PIECE - size + 1
-    cuts = [(a + k, min(a + k + PIECE, a + len(t))) for a, t in zip(first.tolist(), texts, strict=True) for k in range(0, max(1, len(t) - size + 1), step)]
-    cuts.sort(key=lambda c: c[0] - c[1])
-    for begin in range(0, len(cuts), 1 << 13):
-        part = np.array(cuts[begin:begin + (1 << 13)])
-        lengths = part[:, 1] - part[:, 0]
-        width = int(lengths[0])
-        places = part[:, 1, None] - width + np.arange(width)[None, :]
-        patterns = text[np.maximum(places, 0)]
-        for place, lanes, rows, matched in index.matching(patterns, lengths):
-            full = np.flatnonzero(matched == size)
-            if len(full):
-                smallest[places[:lanes, place][full]] = index.smallest_owner(rows[full])
+    _stream(index, text, [(a + k, min(a + k + PIECE, a + len(t))) for a, t in zip(first.tolist(), texts, strict=True) for k in range(0, max(1, len(t) - size + 1), PIECE - size + 1)], smallest)
     windows = np.flatnonzero(np.arange(len(text)) + size <= ends)
     hit = smallest[windows] < docs[owner[windows]]
     marked = windows[hit]

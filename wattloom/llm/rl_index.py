@@ -88,14 +88,17 @@ class RunIndex:
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at ``a`` and ``b`` within their segments, at most ``most``."""
         most = np.minimum(most, np.minimum(self.left[a], self.left[b]))
-        out, live, done = np.zeros(len(a), np.int64), np.flatnonzero(most > 0), 0
+        out = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(most > 0)
+        a, b, rest, done = a[live], b[live], most[live], 0
         top = len(self.words) - 1
         while len(live):
-            differ = self.words[np.minimum(a[live] + done, top)] ^ self.words[np.minimum(b[live] + done, top)]
+            differ = self.words[np.minimum(a + done, top)] ^ self.words[np.minimum(b + done, top)]
             equal = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64)
             out[live] = done + equal
             done += 8
-            live = live[(equal == 8) & (most[live] > done)]
+            more = np.flatnonzero((equal == 8) & (rest > done))
+            live, a, b, rest = live[more], a[more], b[more], rest[more]
         return np.minimum(out, most)
 
     def matching(self, patterns: np.ndarray, lengths: np.ndarray):
@@ -118,8 +121,10 @@ class RunIndex:
                 up, down = self.by_head[up], self.by_head[down]
                 has_up, has_down = (slot > 0) & (self.heads[up] == wanted), (slot < runs) & (self.heads[down] == wanted)
                 most = np.minimum(have, self.depth - 1)
-                share_up = np.where(has_up, self.common(here, self.at_last[up], most), -1)
-                share_down = np.where(has_down, self.common(here, self.at_first[down], most), -1)
+                ends = np.concatenate([self.at_last[up], self.at_first[down]])
+                share = self.common(np.concatenate([here, here]), ends, np.concatenate([most, most]))
+                share[~np.concatenate([has_up, has_down])] = -1
+                share_up, share_down = share[:len(go)], share[len(go):]
                 above = share_up >= share_down
                 run[go] = np.where(above, up, down)
                 row[go] = np.where(above, self.lasts[up], self.starts[down])
