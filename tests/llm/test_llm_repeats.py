@@ -135,6 +135,15 @@ def test_matches_brute_force(spark, monkeypatch, small):
     assert found(df) == brute(rows)
 
 
+@pytest.mark.parametrize("size", [257, 300])
+def test_windows_longer_than_a_piece(spark, size):
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    shared = prose(1500)
+    rows = [(key, prose(40 * key) + shared[30 * key:1500 - 20 * key] + prose(200)) for key in range(5)] + [(9, shared), (10, shared[:size - 60])]
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string"), size=size) == brute(rows, size)
+
+
 def test_whole_characters(spark):
     shared = "é" * 40
     rows = [(1, "aa" + shared), (2, "b" + shared[:30] + "ö" + shared)]

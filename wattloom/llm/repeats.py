@@ -24,7 +24,7 @@ from wattloom.llm.rl_index import RunIndex
 GRAM = 26
 #: Text bytes of a group of documents, and query bytes of a part of a block, about.
 HOME_BYTES, QUERY_BYTES = 4 << 20, 16 << 20
-#: Pattern bytes that are streamed as one, and text bytes that are hashed at a time.
+#: Pattern bytes that are streamed as one (two windows at least), and text bytes that are hashed at a time.
 PIECE, SLAB = 256, 1 << 20
 #: Rows that a task holds before it deals them out.
 HELD_ROWS = 1 << 18
@@ -302,7 +302,8 @@ def _open_and_marked(index: RunIndex, queries: pa.Table, texts: list[bytes], siz
     text, owner, ends, first = _laid(texts)
     docs, variants, starts = (queries[c].to_numpy().astype(np.int64) for c in ("doc", "variant", "start"))
     smallest = np.full(len(text), np.iinfo(np.int64).max)
-    _stream(index, text, [(a + k, min(a + k + PIECE, a + len(t))) for a, t in zip(first.tolist(), texts, strict=True) for k in range(0, max(1, len(t) - size + 1), PIECE - size + 1)], smallest)
+    piece = max(PIECE, 2 * size)
+    _stream(index, text, [(a + k, min(a + k + piece, a + len(t))) for a, t in zip(first.tolist(), texts, strict=True) for k in range(0, max(1, len(t) - size + 1), piece - size + 1)], smallest)
     windows = np.flatnonzero(np.arange(len(text)) + size <= ends)
     hit = smallest[windows] < docs[owner[windows]]
     marked = windows[hit]
