@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import benchmark_leaks, covering_simhash, language_id, license_rules, neighbour_routes, pareto_mix, quality_mcd, repeats, sharding, url_rules, variable_packing
-from wattloom.llm.common import table
+from wattloom.llm import benchmark_leaks, covering_simhash, language_id, license_rules, neighbour_routes, pareto_mix, prefix_trie, quality_mcd, repeats, sharding, url_rules, variable_packing
+from wattloom.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit ON docs.r = hit.r LEFT JOIN named ON docs.r = named.r
 """
+
+
+@_query
+def op12_trie(spark: SparkSession, folder: str) -> DataFrame:
+    own = written(prefix_trie.pack_turns(table(spark, folder, "conversations")))
+    head = F.crc32(F.col("conv_id").cast("string")) % 9 * prefix_trie.TURN
+    lent = own.where("conv_id % 5 = 0").select(F.col("conv_id").alias("base"), F.substring("path", 1, 8 * prefix_trie.TURN).alias("lent"))
+    joined = own.withColumn("base", F.expr("conv_id - conv_id % 5")).join(lent, "base", "left").withColumn("head", head.cast("int"))
+    rebuilt = joined.selectExpr("conv_id", "concat(coalesce(substring(lent, 1, head), X''), substring(path, head + 1)) AS path")
+    return prefix_trie.trie(rebuilt)
+
+
+ORACLES["op12_trie"] = """
+WITH turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, encode(c::VARCHAR) AS e FROM turns),
+crc AS (SELECT c, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, octet_length(e) + 1), lambda i: ord(substr(c::VARCHAR, i, 1))::BIGINT)),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))) AS v FROM ids),
+heads AS (SELECT c, c - c % 5 AS base, xor(v, 4294967295) % 9 AS h FROM crc),
+rebuilt AS (SELECT heads.c, k, role, text FROM heads JOIN turns ON turns.c = heads.base AND k <= h
+    UNION ALL SELECT heads.c, k, role, text FROM heads JOIN turns ON turns.c = heads.c AND k > h),
+paths AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) AS t, octet_length(encode(text)) AS bytes FROM rebuilt),
+prefixes AS (SELECT c, d, bytes, string_agg(t, '/') OVER (PARTITION BY c ORDER BY d) AS p FROM paths
+    UNION ALL SELECT c, 0, 0, '' FROM heads),
+depths AS (SELECT c, max(d) AS last FROM prefixes GROUP BY c),
+ends AS (SELECT p, sha256(string_agg(x.c::VARCHAR, ',' ORDER BY x.c)) AS sha FROM prefixes x JOIN depths y ON x.c = y.c AND d = last GROUP BY p),
+nodes AS (SELECT p, d, min(c) AS c, count(*) AS n, max(bytes) AS bytes FROM prefixes GROUP BY p, d),
+pairs AS (SELECT p, CASE WHEN d <= 1 THEN '' ELSE left(p, length(p) - 65) END AS over, d, c FROM nodes),
+kids AS (SELECT over, count(*) AS n FROM pairs WHERE d > 0 GROUP BY over),
+below AS (SELECT a.p, sum((b.n - 1) * b.bytes) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+    FROM nodes a JOIN nodes b ON b.d >= a.d AND starts_with(b.p || '/', CASE WHEN a.d = 0 THEN '' ELSE a.p || '/' END) LEFT JOIN kids ON kids.over = b.p GROUP BY a.p)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, CASE WHEN x.d > 0 THEN o.c END AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children,
+    below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, coalesce(ends.sha, sha256('')) AS ends_sha256
+FROM nodes x JOIN pairs USING (p) LEFT JOIN nodes o ON o.p = pairs.over LEFT JOIN kids ON kids.over = x.p JOIN below ON below.p = x.p LEFT JOIN ends ON ends.p = x.p
+"""
