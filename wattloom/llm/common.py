@@ -35,3 +35,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and nothing needs any more."""
+    session = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("table-"):
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

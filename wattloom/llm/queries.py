@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm import benchmark_leaks, covering_simhash, language_id, license_rules, neighbour_routes, pareto_mix, prefix_trie, quality_mcd, repeats, sharding, url_rules, variable_packing
+from wattloom.llm import benchmark_leaks, covering_simhash, language_id, license_rules, neighbour_routes, pareto_mix, prefix_trie, quality_mcd, repeats, sharding, url_rules, variable_packing, vector_codes
 from wattloom.llm.common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,33 @@ SELECT x.c AS conv_id, x.d::BIGINT AS depth, CASE WHEN x.d > 0 THEN o.c END AS p
     below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, coalesce(ends.sha, sha256('')) AS ends_sha256
 FROM nodes x JOIN pairs USING (p) LEFT JOIN nodes o ON o.p = pairs.over LEFT JOIN kids ON kids.over = x.p JOIN below ON below.p = x.p LEFT JOIN ends ON ends.p = x.p
 """
+
+
+@_query
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, folder, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    found = vector_codes.with_label_error(codes)
+    return found.select(F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.books_sha256()).alias("codebooks_sha256"))
+
+
+def _codebooks_sql(rounds: int = 6) -> str:
+    """Rounds written out one after the other."""
+    assigned = """
+near{r} AS MATERIALIZED (SELECT v, x.p, arg_min(struct_pack(j := j, d := d), d * 16 + j) AS best FROM (SELECT v, x.p, j, list_sum(list_transform(range(1, 9), lambda i: (x.c[i] - b.c[i]) ** 2))::BIGINT AS d
+    FROM parts x JOIN book{r} b ON x.p = b.p) x GROUP BY v, x.p)"""
+    moved = """,
+book{n} AS MATERIALIZED (SELECT b.p, b.j, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (SELECT p, j, list(floor(total / n)::BIGINT ORDER BY i) AS c
+    FROM (SELECT a.p, best.j AS j, i, sum(c[i])::DOUBLE AS total, count(*) AS n FROM near{r} a JOIN parts x ON a.v = x.v AND a.p = x.p, range(1, 9) t(i) GROUP BY ALL) GROUP BY p, j) m ON b.p = m.p AND b.j = m.j)"""
+    steps = ",".join(assigned.format(r=r) + (moved.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS v, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT v, p, w[8 * p + 1:8 * p + 8] AS c FROM kept, range(8) t(p)),
+book0 AS MATERIALIZED (SELECT p, v AS j, c FROM parts WHERE v < 16),{steps},
+sha AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) AS s FROM book{rounds}),
+coded AS (SELECT v, string_agg(format('{{:02x}}', best.j), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY v)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM kept JOIN coded USING (v), sha
+"""
+
+
+ORACLES["op13_codes"] = _codebooks_sql()
