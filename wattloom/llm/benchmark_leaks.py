@@ -246,15 +246,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Words are runs of digits, letters and characters beyond ASCII, with A-Z in lower case. With ``containment`` 1 a window
     is found where its words stand one after the other; below 1 some words may differ. Rows are judged one by one, also
-    those with equal or null keys; a null text has no words; items without words, or with a null key, hold no window.
-    Repeated items count once. Only the named columns are read. Empty tables give empty results.
+    those with equal or null keys; a null text has no words; items without words hold no window. The windows of an item
+    with a null key are found, but it is not named as an item. Repeated items count once. Only the named columns are read. Empty tables give empty results.
     """
     if not (1 <= shingle <= window and 0 < containment <= 1):
         raise ValueError("need 1 <= shingle <= window and 0 < containment <= 1")
-    cut = written(item_windows(items.where(F.col(item_key).isNotNull()), item_key, item_text, window, shingle))
+    cut = written(item_windows(items, item_key, item_text, window, shingle))
     distinct = cut.groupBy("window").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes"))
     windows = written(distinct.select(F.monotonically_increasing_id().alias("id"), "*"))
-    held = cut.select("item", "window").distinct().join(windows.select("window", F.col("id")), "window").select(F.col("id").alias("window"), "item")
+    held = cut.where("item IS NOT NULL").select("item", "window").distinct().join(windows.select("window", F.col("id")), "window").select(F.col("id").alias("window"), "item")
     sizes = [r["size"] for r in windows.select(F.least(F.lit(shingle), "size").alias("size")).distinct().orderBy("size").collect()]  # ``shingle`` at most
     need = F.ceil(F.lit(containment) * F.size("hashes")).cast("int")
     tokens = windows.select("id", (F.size("hashes") - need + 1).alias("prefix"), need.alias("need"), F.posexplode("hashes").alias("place", "hash"))
@@ -302,7 +302,7 @@ def judge(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
     ``hit_spans`` are the first and last words (from 0) of the runs to remove, null for a clean document, like ``items``.
     """
     leaks = find_leaks(docs, items, **options)
-    found = covered_words(leaks.spans).join(leaked_items(leaks), "row")
+    found = covered_words(leaks.spans).join(leaked_items(leaks), "row", "left")
     whole = leaks.docs.join(found, "row", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")]
     return whole.select("key", "n_words", *zero, "hit_spans", "items", F.col("n_hit").isNotNull().alias("contaminated"))

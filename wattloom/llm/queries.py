@@ -123,14 +123,14 @@ ORACLES["op11_decontamination"] = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 begun AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS b FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[b:b + 9], ' ') AS t FROM begun),
 sizes AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS b FROM docs, sizes WHERE len(w) >= n),
 found AS (SELECT r, b, p.n, item_id FROM (SELECT r, b, n, array_to_string(w[b:b + n - 1], ' ') AS t FROM places) p JOIN windows x ON p.n = x.n AND p.t = x.t),
 hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(b, b + n)) AS k FROM found) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM found) GROUP BY r)
+named AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM found WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit ON docs.r = hit.r LEFT JOIN named ON docs.r = named.r

@@ -80,8 +80,8 @@ def assign(parts: np.ndarray, codes: np.ndarray, radii: np.ndarray, book: Codebo
 
 
 def largest(width: int, parts: int, entries: int) -> int:
-    """Whole numbers beyond this are cut to it: squared distances, times the number of entries, stay exact in 64 bits."""
-    return 1 << min(30, (62 - (-(-width // parts) * entries).bit_length()) // 2 - 1)
+    """Whole numbers beyond this are cut to it: errors, and squared distances times the number of entries, stay exact in 64 bits."""
+    return 1 << min(30, (62 - max(width, -(-width // parts) * entries).bit_length()) // 2 - 1)
 
 
 def _cuts(width: int, parts: int) -> list[int]:
@@ -192,7 +192,7 @@ def compress(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     keys by their vectors, null keys last); fewer vectors give fewer entries. Entries without parts stay. Means are rounded
     down. Left out are null and empty vectors, those with null or non-finite components, and those of another length than
     most have (of equally frequent lengths the least counts). If the length is no multiple of ``parts``, some parts are a component longer. Numbers beyond
-    ``largest`` (2^26 for 8 components and 16 entries) are cut to it. Repeated rows count each time. Other columns are not read; an empty table gives no rows and no
+    ``largest`` (2^26 for 64 components in 8 parts and 16 entries) are cut to it. Repeated rows count each time. Other columns are not read; an empty table gives no rows and no
     entries.
     """
     if not (1 <= entries <= 256 and parts >= 1 and rounds >= 0):
@@ -227,9 +227,9 @@ def _moved(books: list[Codebook], sums: DataFrame) -> list[Codebook]:
 
 
 def with_label_error(codes: Codes) -> DataFrame:
-    """Rows with label_error, the error summed over all rows of the same label, null labels together."""
+    """Rows with label_error, the error summed over all rows of the same label, null labels together; null beyond 64 bits."""
     rows = codes.rows.withColumn("_label", F.struct("label"))  # a struct with a null field equals its like
-    sums = written(rows.groupBy("_label").agg(F.sum("error").alias("label_error")))
+    sums = written(rows.groupBy("_label").agg(F.expr("try_cast(sum(cast(error AS decimal(38, 0))) AS bigint)").alias("label_error")))
     sought = small_side(sums)
     joined = rows.join(sought, "_label") if sought is not sums else hot_join(rows, sums, "_label", ["key", "code"])
     return joined.drop("_label")
