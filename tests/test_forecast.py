@@ -9,6 +9,7 @@ from wattloom.conf import ForecastConf
 from wattloom.operators import forecast as fc
 from wattloom.operators.joins import attach_actuals
 from wattloom.operators.regress import fit_least_squares
+from wattloom.operators.conjugate import Descent
 from wattloom.operators.wide import forecast_meters
 from wattloom.plans.experiment import ClusterSetup, experiment_grid, run_grid, run_model
 from wattloom.sources.tables import read_table
@@ -119,31 +120,59 @@ def test_trees_and_robust_fit_learn(spark):
     assert error.agg(F.max(F.abs(F.col("y") - F.col("pred_val")))).first()[0] < 0.5
 
 
-@pytest.mark.parametrize("meters,ridge", [(6, 0.0), (60, 0.0), (6, 2.0)])
-def test_all_meters_both_ways_match_numpy(spark, meters, ridge):
+def wide_weights(x, y, ridge):
+    xc, yc = x - x.mean(0), y - y.mean(0)
+    return np.linalg.lstsq(xc, yc, rcond=None)[0] if ridge == 0 else np.linalg.solve(xc.T @ xc + ridge * np.eye(x.shape[1]), xc.T @ yc)
+
+
+@pytest.mark.parametrize("meters,ridge,sent", [((6, 9), 0.0, 1 << 20), ((60, 3), 0.0, 1 << 20), ((60, 3), 2.0, 0), ((6, 9), 2.0, 0)])
+def test_all_meters_match_numpy(spark, monkeypatch, meters, ridge, sent):
+    """Two clusters, more bases or more meters, a base drawn twice, tables sent or joined."""
+    monkeypatch.setattr("wattloom.operators.wide.SENT", sent)
     rng = np.random.default_rng(8)
-    n = 40
-    v = rng.uniform(1, 5, size=(meters, n + 2))
-    series = spark.createDataFrame([(m, p, float(v[m, p])) for m in range(meters) for p in range(n + 2)], "meter_id long, pos long, value double")
-    extra = rng.normal(size=n)
-    total = v.sum(0)
-    role = ["train"] * 30 + ["test"] * 10
-    data = [(0, p, role[p], [float(extra[p])], [float(total[p + 1]), float(total[p + 2])]) for p in range(n)]
+    n, count = 40, sum(meters)
+    v = rng.uniform(1, 5, size=(count, n + 2))
+    rows = [(m, p, float(v[m, p])) for m in range(count) for p in range(n + 2)] + [(count, p, None) for p in range(n)]
+    series = spark.createDataFrame(rows, "meter_id long, pos long, value double")
+    clust = [0] * meters[0] + [1] * meters[1]
+    clusters = spark.createDataFrame([*enumerate(clust), (count, 1)], "meter_id long, clust_id int")
+    extra, train = rng.normal(size=n), [*range(30), 4, 4]
+    data, want = [], {}
+    for c in (0, 1):
+        mine = v[np.array(clust) == c]
+        total = mine.sum(0)
+        x, y = np.c_[mine[:, :n].T, extra], np.c_[total[1:n + 1], total[2:n + 2]] ** 2
+        w = wide_weights(x[train], y[train], ridge)
+        want |= {(c, p, h): y[train].mean(0)[h] + (x[p] - x[train].mean(0)) @ w[:, h] for p in range(29, n) for h in (0, 1)}
+        data += [(c, p, r, [float(extra[p])], y[p].tolist()) for r, ps in (("train", train), ("test", range(29, n))) for p in ps]
     samples = spark.createDataFrame(data, "clust_id int, base_pos long, role string, features array<double>, targets array<double>")
-    x = np.c_[v[:, :n].T, extra]
-    y = np.c_[total[1:n + 1], total[2:n + 2]]
-    xc, yc = x[:30] - x[:30].mean(0), y[:30] - y[:30].mean(0)
-    w = np.linalg.lstsq(xc, yc, rcond=None)[0] if ridge == 0 else np.linalg.solve(xc.T @ xc + ridge * np.eye(x.shape[1]), xc.T @ yc)
-    want = y[:30].mean(0) + (x[30:] - x[:30].mean(0)) @ w
-    clusters = spark.createDataFrame([(m, 0) for m in range(meters)], "meter_id long, clust_id int")
-    from wattloom.operators import wide
-    for path in (wide._over_meters, wide._over_bases):
-        got = path(series, samples, "meter_id", "value", ridge).toPandas().pivot(index="base_pos", columns="horizon", values="pred_val")
-        np.testing.assert_allclose(got.to_numpy(), want, rtol=1e-6)
-    whole = forecast_meters(series, clusters, samples, ridge).toPandas().pivot(index="base_pos", columns="horizon", values="pred_val")
-    np.testing.assert_allclose(whole.to_numpy(), want, rtol=1e-6)
-    with pytest.raises(ValueError, match="exceed"):
-        forecast_meters(series, clusters, samples, ridge, limit=4)
+    got = {(r.clust_id, r.base_pos, r.horizon - 1): r.pred_val for r in forecast_meters(series, clusters, samples, ridge).collect()}
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), rtol=1e-6)
+
+
+def test_steps_grow_slower_than_meters():
+    """All targets share the search space, so a fit takes about meters / targets steps."""
+    rng = np.random.default_rng(0)
+    x, targets = rng.gamma(1, 30, size=(300, 120)), 24
+    x -= x.mean(0)
+    goal = x.T @ rng.normal(size=(300, targets))
+    solver, steps = Descent.of(goal, 1.0, 1e-11), 0
+    while not solver.done:
+        solver.step(x.T @ (x @ solver.ask), 1e-11)
+        solver, steps = Descent.unpacked(solver.packed()), steps + 1
+    assert steps <= 12
+    np.testing.assert_allclose(solver.found, np.linalg.solve(x.T @ x + np.eye(120), goal), rtol=1e-7)
+
+
+def test_solver_takes_collinear_columns_and_zero_targets():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20, 3)) @ rng.normal(size=(3, 30))
+    y = np.c_[rng.normal(size=(20, 2)), np.zeros(20)]
+    solver = Descent.of(x.T @ y, 0.0, 1e-11)
+    while not solver.done:
+        solver.step(x.T @ (x @ solver.ask), 1e-11)
+    np.testing.assert_allclose(solver.found, np.linalg.lstsq(x, y, rcond=1e-10)[0], atol=1e-8)
 
 
 def daily_meters(spark):

@@ -42,8 +42,8 @@ def fixed_features_sql(expressions: list[str]) -> str:
     return f"feats AS ({rows})"
 
 
-def solve_sql(width: int, ridge: float = 0.0) -> str:
-    """Tables ``coef`` and ``pred`` from ``feats`` and ``targs`` by Gauss-Jordan elimination."""
+def solve_sql(width: int | str, ridge: float = 0.0) -> str:
+    """Tables ``coef`` and ``pred`` from ``feats`` and ``targs`` by Gauss-Jordan elimination; ``width``: largest feature number."""
     return f"""
     sums AS (
       SELECT l.grp, l.i, r.j, sum(l.x * r.x) + CASE WHEN l.i = r.j AND l.i > 0 THEN {ridge} ELSE 0 END AS v
@@ -58,14 +58,14 @@ def solve_sql(width: int, ridge: float = 0.0) -> str:
                max(CASE WHEN i = k THEN v END) OVER (PARTITION BY grp, j) AS pr,
                max(CASE WHEN j = k THEN v END) OVER (PARTITION BY grp, i) AS f
         FROM gj WHERE k <= {width})),
-    coef AS (SELECT grp, i, j - {width} AS h, v FROM gj WHERE k = {width + 1} AND j > {width}),
+    coef AS (SELECT grp, i, j - {width} AS h, v FROM gj WHERE k = {width} + 1 AND j > {width}),
     pred AS (SELECT f.grp, f.base, h, sum(f.x * v) AS p FROM feats f JOIN coef ON coef.grp = f.grp AND coef.i = f.i
              WHERE role = 'test' GROUP BY 1, 2, 3),
     fitted AS (SELECT pred.grp, pred.base, pred.h, y AS a, p FROM pred
                JOIN targs t ON t.grp = pred.grp AND t.base = pred.base AND t.h = pred.h AND t.role = 'test')"""
 
 
-def forecast_sql(series: str, split: str, next_times: int, features: str, width: int, ridge: float, places: int) -> str:
+def forecast_sql(series: str, split: str, next_times: int, features: str, width: int | str, ridge: float, places: int) -> str:
     return f"""
     WITH RECURSIVE {series}, {split}, {roles_sql()}, {target_sql(next_times)}, {features}, {solve_sql(width, ridge)}
     SELECT grp AS clust_id, base AS base_pos, h AS horizon, round(a, 6) AS act_val, round(p, {places}) AS pred_val FROM fitted"""
@@ -143,20 +143,20 @@ def fourier_sql(width: int, count: int) -> str:
 METER_RIDGE = 1.0
 
 
-def meter_features_sql(meters: int, flags: list[str]) -> str:
-    """Value of each meter, numbered by id, then the time variables; ``meters`` is the number at the checked scale."""
+def meter_features_sql(flags: list[str]) -> str:
+    """The time variables, then the value of each meter, numbered by id."""
     rows = " UNION ALL ".join(
         f"SELECT 0 AS grp, role, b.pos AS base, {i} AS i, CAST({e} AS DOUBLE) AS x FROM b JOIN series s USING (pos)"
-        for i, e in [(0, "1"), *((meters + j, e) for j, e in enumerate(flags, 1))])
+        for i, e in enumerate(["1", *flags]))
     return f"""
     feats AS (
-      SELECT 0 AS grp, role, b.pos AS base, m.rn AS i, f.value AS x
+      SELECT 0 AS grp, role, b.pos AS base, {len(flags)} + m.rn AS i, f.value AS x
       FROM b JOIN filled f USING (pos) JOIN (SELECT meter_id, row_number() OVER (ORDER BY meter_id) AS rn FROM (SELECT DISTINCT meter_id FROM filled)) m USING (meter_id)
       UNION ALL {rows})"""
 
 
 @query("forecast_meters", forecast_sql(
-    HOURLY_TOTAL_SQL, HOURLY_SPLIT_SQL, 24, meter_features_sql(150, [*HOUR_CYCLE, *FLAGS]), 158, METER_RIDGE, 3))
+    HOURLY_TOTAL_SQL, HOURLY_SPLIT_SQL, 24, meter_features_sql([*HOUR_CYCLE, *FLAGS]), "(SELECT max(i) FROM feats)", METER_RIDGE, 3))
 def forecast_from_meters(spark, sf):
     series = cut_lineage(hourly_series(spark, sf))
     totals, features = with_calendar(cut_lineage(cluster_totals(series)))
