@@ -195,7 +195,7 @@ def test_models_forecast_a_weekly_pattern(spark, model):
     series, index = daily_meters(spark)
     clusters, errors, timings, forecasts = run_model(series, index, CONF, model)
     assert errors.first().mape < 5
-    assert {r.stage for r in timings.collect()} == {"REDUCE_DIM_CLUSTER", "CLUSTERING", "LEARNING"}
+    assert {r.stage for r in timings.collect()} == {"REDUCE_DIM_CLUSTER", "CLUSTERING", "REDUCE_DIM_FEATURE", "LEARNING"}
     assert clusters.count() == 6 and forecasts.select("pos").distinct().count() == forecasts.count()
 
 

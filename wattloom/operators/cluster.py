@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattloom.operators.windows import dot
+from wattloom.operators.reduce import apply_components, fit_components
 
 # Rows of a partition when the order of rows must not matter, about.
 PART_ROWS = 1 << 17
@@ -36,24 +32,11 @@ def meters_without_values(series: DataFrame, key: str = "meter_id", value: str =
 
 
 def reduce_pca(vectors: DataFrame, k: int = 2, column: str = "profile", out: str = "reduced") -> DataFrame:
-    """Coordinates on the first k principal components, from a distributed SVD of the centred vectors.
+    """Coordinates on the first k principal components of these very vectors; see ``reduce`` for models to keep.
 
     Each component is turned so that its largest loading is positive. Components that the vectors do not span are 0.
     """
-    whole = vectors.withColumn("_v", array_to_vector(column))
-    model = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(whole)
-    centred = model.transform(whole)
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(centred.select("_c"), "_c"))
-    found = matrix.computeSVD(min(k, model.mean.size)).V.toArray().T
-    loadings = np.zeros((k, model.mean.size))
-    loadings[:len(found)] = found
-    turned = [(v if v[abs(v).argmax()] > 0 else -v).tolist() for v in loadings]
-    spark = vectors.sparkSession
-    parts = spark.createDataFrame([(turned, model.mean.toArray().tolist())], "axes array<array<double>>, mean array<double>")
-    axes, mean = parts.select("axes").scalar(), parts.select("mean").scalar()
-    away = vectors.withColumns({"_axes": axes, "_mean": mean}).withColumn(
-        "_d", F.zip_with(column, "_mean", lambda x, m: x - m))
-    return away.withColumn(out, F.transform("_axes", lambda a: dot(F.col("_d"), a))).drop("_axes", "_mean", "_d")
+    return apply_components(vectors, fit_components(vectors, k, column), column, out)
 
 
 def relabel(labelled: DataFrame, key: str = "meter_id", label: str = "clust_id") -> DataFrame:

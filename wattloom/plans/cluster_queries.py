@@ -30,7 +30,32 @@ def meter_profiles(spark, sf):
     return rounded(rounded(out, 6, "total"), 4, "weighted")
 
 
-@query("pca_profiles")
+SQUARINGS = 13
+
+
+def component_sql(k: int) -> str:
+    """Eigenvector ``u`` of the largest eigenvalue ``l`` of the products ``k{k}`` between meters, by squaring them again and
+    again, and the products without it."""
+    last = f"s{k}_{SQUARINGS}"
+    steps = "".join(f"""
+    s{k}_{n + 1} AS MATERIALIZED (SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM (
+      SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{k}_{n} a JOIN s{k}_{n} b ON a.j = b.i GROUP BY ALL)),""" for n in range(SQUARINGS))
+    return f"""
+    s{k}_0 AS MATERIALIZED (SELECT i, j, v / sum(v) FILTER (i = j) OVER () AS v FROM k{k}),{steps}
+    w{k} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS u FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)),
+    l{k} AS MATERIALIZED (SELECT sum(a.u * v * b.u) AS l FROM k{k} JOIN w{k} a ON a.i = k{k}.i JOIN w{k} b ON b.i = k{k}.j),
+    sign{k} AS MATERIALIZED (SELECT arg_max(sign(x), abs(x)) AS s FROM (SELECT sum(u * v) AS x FROM c JOIN w{k} ON i = meter_id GROUP BY pos)),
+    pc{k} AS (SELECT i AS meter_id, round(u * s * sqrt(l), 6) AS pc{k} FROM w{k}, sign{k}, l{k}),
+    k{k + 1} AS MATERIALIZED (SELECT k.i, k.j, k.v - l * a.u * b.u AS v FROM k{k} k JOIN w{k} a ON a.i = k.i JOIN w{k} b ON b.i = k.j, l{k})"""
+
+
+@query("pca_profiles", f"""
+    WITH {HOURLY_SQL}, series AS (SELECT DISTINCT pos, time FROM filled), {HOURLY_SPLIT_SQL},
+    c AS MATERIALIZED (SELECT meter_id, pos, ln(1 + value) - avg(ln(1 + value)) OVER (PARTITION BY pos) AS v FROM filled
+      WHERE pos IN (SELECT pos FROM season) AND pos < (SELECT test_start FROM start)),
+    k1 AS MATERIALIZED (SELECT a.meter_id AS i, b.meter_id AS j, sum(a.v * b.v) AS v FROM c a JOIN c b USING (pos) GROUP BY ALL),
+    {component_sql(1)}, {component_sql(2)}
+    SELECT meter_id, pc1, pc2 FROM pc1 JOIN pc2 USING (meter_id)""")
 def pca_profiles(spark, sf):
     reduced = reduce_pca(cut_lineage(meter_vectors(spark, sf)), 2)
     return reduced.select("meter_id", F.round(F.col("reduced")[0], 6).alias("pc1"), F.round(F.col("reduced")[1], 6).alias("pc2"))

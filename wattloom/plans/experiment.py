@@ -15,6 +15,7 @@ from wattloom.operators import forecast as fc
 from wattloom.operators.cluster import cluster_kmeans, profiles, reduce_pca
 from wattloom.operators.dbscan import cluster_dbscan
 from wattloom.operators.joins import attach_actuals
+from wattloom.operators.reduce import apply_feature_axes, fit_feature_axes
 from wattloom.operators.score import forecast_errors, sum_clusters
 from wattloom.operators.series import cluster_totals, single_cluster
 from wattloom.operators.split import Split
@@ -42,17 +43,21 @@ COMPARED = (ClusterSetup(4, "kmeans", "pca", 2), ClusterSetup())
 
 
 def experiment_grid(spark: SparkSession, models: Sequence[str], seasons: Sequence[str] = ("summer", "winter"),
-                    setups: Sequence[ClusterSetup] = COMPARED, reps: int = 10) -> DataFrame:
-    """One row per run: repetition, season, model and cluster set-up, with its run code."""
+                    setups: Sequence[ClusterSetup] = COMPARED, reps: int = 10,
+                    feature_dims: Sequence[int | None] = (None,)) -> DataFrame:
+    """One row per run: repetition, season, model, cluster set-up and number of components that the model's features are
+    reduced to (null: not at all), with its run code."""
     setup = F.array(*[
         F.struct(F.lit(s.n_cluster).alias("n_cluster"), F.lit(s.method).cast("string").alias("method"),
                  F.lit(s.reduction).cast("string").alias("reduction"), F.lit(s.dims).cast("int").alias("dims"))
         for s in setups])
     grid = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.array(*map(F.lit, seasons))).alias("season"))
     grid = grid.select("*", F.explode(F.array(*map(F.lit, models))).alias("model"))
-    grid = grid.select("*", F.explode(setup).alias("_s")).select("rep", "season", "model", "_s.*")
+    grid = grid.select("*", F.explode(F.array(*[F.lit(d).cast("int") for d in feature_dims])).alias("feature_dims"))
+    grid = grid.select("*", F.explode(setup).alias("_s")).select("rep", "season", "model", "feature_dims", "_s.*")
     clusters = cluster_code(F.col("n_cluster"), F.col("method"), F.col("reduction"), F.col("dims"))
-    code = run_code(F.col("model"), clusters, F.col("season"))
+    reduction = F.when(F.col("feature_dims").isNotNull(), "pca")
+    code = run_code(F.col("model"), clusters, F.col("season"), reduction, F.col("feature_dims"))
     return grid.withColumn("run_code", code).withColumn("run_id", F.concat_ws("#", "run_code", "rep"))
 
 
@@ -82,15 +87,27 @@ def find_clusters(series: DataFrame, split: Split, setup: ClusterSetup, seed: in
     return labels, {"REDUCE_DIM_CLUSTER": reduced - begin, "CLUSTERING": time.time() - reduced}
 
 
-def forecast_model(totals: DataFrame, split: Split, model: str, time_features: Sequence[str] = ()) -> DataFrame:
+def forecast_model(totals: DataFrame, split: Split, model: str, time_features: Sequence[str] = (),
+                   feature_dims: int | None = None, seconds: dict | None = None) -> DataFrame:
     """Forecasts of one model at the test bases: clust_id, base_pos, horizon, pos, pred_val.
 
-    ``totals`` holds the cluster totals and the time variables named in ``time_features``.
+    ``totals`` holds the cluster totals and the time variables named in ``time_features``. With ``feature_dims`` the model
+    sees that many principal components of its features, fitted on the training samples of each cluster and applied to
+    both parts; ``seconds`` takes the time of the fit. Persistence has no features and dlinear needs its window as it is.
     """
     conf, roles = split.conf, split.base_roles()
+    if feature_dims is not None and model in ("persistence", "dlinear"):
+        raise ValueError(f"the features of {model!r} cannot be reduced")
 
     def parts(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return samples.where("role = 'train'").drop("role"), samples.where("role = 'test'").drop("role")
+        train, test = samples.where("role = 'train'").drop("role"), samples.where("role = 'test'").drop("role")
+        if feature_dims is None or "features" not in samples.columns:
+            return train, test
+        begin = time.time()
+        axes = cut_lineage(fit_feature_axes(train, feature_dims))
+        if seconds is not None:
+            seconds["REDUCE_DIM_FEATURE"] = time.time() - begin
+        return apply_feature_axes(train, axes), apply_feature_axes(test, axes)
 
     if model == "persistence":
         train, test = parts(fc.persistence_pairs(totals, roles, conf.next_times))
@@ -101,7 +118,7 @@ def forecast_model(totals: DataFrame, split: Split, model: str, time_features: S
             return fc.predict_direct(fc.fit_linear(train), test)
         if model == "gbt":
             return fc.forecast_gbt(train, test, conf.next_times)
-        gamma, width = fc.scale_gamma(train).scalar(), 1 + len(time_features)
+        gamma, width = fc.scale_gamma(train).scalar(), feature_dims or 1 + len(time_features)
         train, test = (fc.fourier_features(p, width, gamma, FOURIER_COUNT) for p in (train, test))
         return fc.predict_direct(fc.fit_rbf(train), test)
     if model == "ar":
@@ -122,7 +139,7 @@ def with_calendar(totals: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def run_model(series: DataFrame, index: DataFrame, conf: ForecastConf, model: str, setup: ClusterSetup = ClusterSetup(),
-              rep: int = 0, found: tuple[DataFrame, dict] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+              rep: int = 0, found: tuple[DataFrame, dict] | None = None, feature_dims: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """One run: cluster map, error row, timings and forecasts.
 
     Repetitions differ in their training sample, not in their clusters; ``found`` hands in clusters that an earlier run
@@ -131,11 +148,11 @@ def run_model(series: DataFrame, index: DataFrame, conf: ForecastConf, model: st
     spark = series.sparkSession
     split = Split(index, conf, seed=rep)
     clusters, seconds = found or find_clusters(series, split, setup)
-    seconds = dict(seconds)
+    seconds = {**seconds, "REDUCE_DIM_FEATURE": 0.0}
     begin = time.time()
     totals, features = with_calendar(cut_lineage(cluster_totals(series, clusters)))
-    forecasts = cut_lineage(attach_actuals(forecast_model(totals, split, model, features), totals))
-    seconds["LEARNING"] = time.time() - begin
+    forecasts = cut_lineage(attach_actuals(forecast_model(totals, split, model, features, feature_dims, seconds), totals))
+    seconds["LEARNING"] = time.time() - begin - seconds["REDUCE_DIM_FEATURE"]
     errors = forecast_errors(sum_clusters(forecasts))
     timings = spark.createDataFrame(list(seconds.items()), "stage string, seconds double")
     return clusters, errors, timings, forecasts
@@ -161,7 +178,7 @@ def run_grid(series: DataFrame, index: DataFrame, settings: DataFrame, root: str
         season = replace(conf, season=row["season"])
         if known != (row["season"], setup):  # clusters are found once for all models and repetitions
             known, found = (row["season"], setup), find_clusters(series, Split(index, season), setup)
-        parts = run_model(series, index, season, row["model"], setup, int(row["rep"]), found)
+        parts = run_model(series, index, season, row["model"], setup, int(row["rep"]), found, row["feature_dims"])
         stamp = {"run_id": row["run_id"], "run_code": row["run_code"], "model": row["model"], "season": row["season"],
                  "run_time": time.strftime("%Y%m%d%H%M%S", time.gmtime())}
         clusters, errors, timings, forecasts = parts
