@@ -110,7 +110,7 @@ def test_trees_and_robust_fit_learn(spark):
     x = rng.uniform(-1, 1, size=(120, 2))
     y = np.c_[np.where(x[:, 0] > 0, 10.0, -10.0), 3 * x[:, 1]]
     train = samples_of(spark, x, y, np.zeros(120))
-    made = fc.forecast_gbt(train, train, 2, max_iter=3, max_depth=2, step_size=0.5)
+    made = fc.forecast_gbt(train, train, rounds=3, depth=2, rate=0.5)
     assert made.count() == 240
     error = made.where("horizon = 1").join(train.select("base_pos", F.col("targets")[0].alias("y")), "base_pos")
     assert error.agg(F.avg(F.abs(F.col("y") - F.col("pred_val")))).first()[0] < 3

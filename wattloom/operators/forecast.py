@@ -13,12 +13,13 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattloom.operators.regress import fit_least_squares, linear_value
+from wattloom.operators.trees import fit_trees, predict_trees
 from wattloom.operators.windows import dot, sequence_window
 
 
@@ -34,6 +35,25 @@ def supervised(series: DataFrame, bases: DataFrame, next_times: int, time_featur
     return on_bases(samples, bases)
 
 
+def meter_samples(series: DataFrame, clusters: DataFrame, samples: DataFrame, key: str = "meter_id", value: str = "value") -> DataFrame:
+    """``samples`` whose features are the values of every meter of the cluster at the base, by meter, and then their own.
+
+    For models that need all features in a row; ``forecast_meters`` fits the linear one without. Meters without values are
+    left out; a meter with gaps at the bases fails, since its places would shift.
+    """
+    known = series.where(F.col(value).isNotNull()).join(clusters.select(key, "clust_id"), key)
+    counts = known.select("clust_id", key).distinct().groupBy("clust_id").agg(F.count("*").alias("_all"))
+    wanted = samples.select("clust_id", F.col("base_pos").alias("pos")).distinct()
+    step = F.struct(key, F.col(value).cast("double").alias("v"))
+    rows = known.join(wanted, ["clust_id", "pos"], "left_semi").groupBy("clust_id", "pos").agg(
+        F.transform(F.sort_array(F.collect_list(step)), lambda s: s["v"]).alias("_values"))
+    whole = F.when(F.size("_values") == F.col("_all"), F.col("_values")).otherwise(
+        F.raise_error(F.concat(F.lit("meters without value at "), F.col("pos").cast("string"))).cast("array<double>"))
+    checked = rows.join(counts, "clust_id").select("clust_id", F.col("pos").alias("base_pos"), whole.alias("_values"))
+    joined = samples.join(checked, ["clust_id", "base_pos"])
+    return joined.withColumn("features", F.concat("_values", "features")).select(*samples.columns)
+
+
 def window_samples(series: DataFrame, bases: DataFrame, prev_times: int, next_times: int, log: bool = True,
                    keys: Sequence[str] = ("clust_id",), value: str = "value") -> DataFrame:
     """Features: the last prev_times totals, as log(v + 1) if asked. Targets: the next totals."""
@@ -212,13 +232,10 @@ def _each_model(train: DataFrame, test: DataFrame, next_times: int, keys: Sequen
     return whole
 
 
-def forecast_gbt(train: DataFrame, test: DataFrame, next_times: int, keys: Sequence[str] = ("clust_id",),
-                 max_iter: int = 100, max_depth: int = 6, step_size: float = 0.3, seed: int = 0,
-                 parallelism: int = 4) -> DataFrame:
-    """Boosted trees, one model per cluster and horizon; Spark grows each tree on all rows at once."""
-    estimator = GBTRegressor(featuresCol="_v", labelCol="_y", predictionCol="_yhat", maxIter=max_iter,
-                             maxDepth=max_depth, stepSize=step_size, seed=seed)
-    return _each_model(train, test, next_times, keys, estimator.fit, parallelism)
+def forecast_gbt(train: DataFrame, test: DataFrame, keys: Sequence[str] = ("clust_id",), rounds: int = 100,
+                 depth: int = 6, rate: float = 0.3) -> DataFrame:
+    """Boosted trees, one model per cluster and horizon, fitted by one job for all of them."""
+    return predict_trees(fit_trees(train, keys, rounds, depth, rate), test, keys)
 
 
 def forecast_huber(train: DataFrame, test: DataFrame, next_times: int, keys: Sequence[str] = ("clust_id",),

@@ -19,6 +19,7 @@ from wattloom.operators.reduce import apply_feature_axes, fit_feature_axes
 from wattloom.operators.score import forecast_errors, sum_clusters
 from wattloom.operators.series import cluster_totals, single_cluster
 from wattloom.operators.split import Split
+from wattloom.operators.wide import forecast_meters
 from wattloom.session import cut_lineage
 from wattloom.sources.tables import cluster_code, only_missing, run_code, write_run
 
@@ -88,12 +89,15 @@ def find_clusters(series: DataFrame, split: Split, setup: ClusterSetup, seed: in
 
 
 def forecast_model(totals: DataFrame, split: Split, model: str, time_features: Sequence[str] = (),
-                   feature_dims: int | None = None, seconds: dict | None = None) -> DataFrame:
+                   feature_dims: int | None = None, seconds: dict | None = None,
+                   meters: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Forecasts of one model at the test bases: clust_id, base_pos, horizon, pos, pred_val.
 
     ``totals`` holds the cluster totals and the time variables named in ``time_features``. With ``feature_dims`` the model
     sees that many principal components of its features, fitted on the training samples of each cluster and applied to
     both parts; ``seconds`` takes the time of the fit. Persistence has no features and dlinear needs its window as it is.
+    With ``meters`` (series and cluster map) linear, rbf and gbt see the value of each meter of the cluster at the base
+    instead of their total.
     """
     conf, roles = split.conf, split.base_roles()
     if feature_dims is not None and model in ("persistence", "dlinear"):
@@ -113,12 +117,18 @@ def forecast_model(totals: DataFrame, split: Split, model: str, time_features: S
         train, test = parts(fc.persistence_pairs(totals, roles, conf.next_times))
         return fc.predict_persistence(fc.persistence_ratio(train), test)
     if model in ("linear", "rbf", "gbt"):
-        train, test = parts(fc.supervised(totals, roles, conf.next_times, time_features))
+        samples = fc.supervised(totals, roles, conf.next_times, time_features)
+        if meters is not None:
+            samples = cut_lineage(samples.withColumn("features", F.slice("features", 2, len(time_features))))
+            if model == "linear" and feature_dims is None:
+                return forecast_meters(*meters, samples)
+            samples = cut_lineage(fc.meter_samples(*meters, samples))
+        train, test = parts(samples)
         if model == "linear":
             return fc.predict_direct(fc.fit_linear(train), test)
         if model == "gbt":
-            return fc.forecast_gbt(train, test, conf.next_times)
-        gamma, width = fc.scale_gamma(train).scalar(), feature_dims or 1 + len(time_features)
+            return fc.forecast_gbt(train, test)
+        gamma, width = fc.scale_gamma(train).scalar(), train.select(F.max(F.size("features"))).first()[0]
         train, test = (fc.fourier_features(p, width, gamma, FOURIER_COUNT) for p in (train, test))
         return fc.predict_direct(fc.fit_rbf(train), test)
     if model == "ar":
@@ -139,11 +149,13 @@ def with_calendar(totals: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def run_model(series: DataFrame, index: DataFrame, conf: ForecastConf, model: str, setup: ClusterSetup = ClusterSetup(),
-              rep: int = 0, found: tuple[DataFrame, dict] | None = None, feature_dims: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+              rep: int = 0, found: tuple[DataFrame, dict] | None = None, feature_dims: int | None = None,
+              meter_features: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """One run: cluster map, error row, timings and forecasts.
 
     Repetitions differ in their training sample, not in their clusters; ``found`` hands in clusters that an earlier run
-    of the same season and set-up has found, with their seconds.
+    of the same season and set-up has found, with their seconds. With ``meter_features`` the models that can see the meters
+    of a cluster, not only their total.
     """
     spark = series.sparkSession
     split = Split(index, conf, seed=rep)
@@ -151,7 +163,8 @@ def run_model(series: DataFrame, index: DataFrame, conf: ForecastConf, model: st
     seconds = {**seconds, "REDUCE_DIM_FEATURE": 0.0}
     begin = time.time()
     totals, features = with_calendar(cut_lineage(cluster_totals(series, clusters)))
-    forecasts = cut_lineage(attach_actuals(forecast_model(totals, split, model, features, feature_dims, seconds), totals))
+    meters = (series, clusters) if meter_features else None
+    forecasts = cut_lineage(attach_actuals(forecast_model(totals, split, model, features, feature_dims, seconds, meters), totals))
     seconds["LEARNING"] = time.time() - begin - seconds["REDUCE_DIM_FEATURE"]
     errors = forecast_errors(sum_clusters(forecasts))
     timings = spark.createDataFrame(list(seconds.items()), "stage string, seconds double")

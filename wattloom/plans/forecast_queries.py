@@ -192,7 +192,7 @@ def daily_samples(spark, sf):
 @query("forecast_gbt")
 def forecast_gbt(spark, sf):
     totals, train, test = daily_samples(spark, sf)
-    return result(fc.forecast_gbt(train, test, SUMMER.next_times, max_iter=5, max_depth=4), totals, 1)
+    return result(fc.forecast_gbt(train, test), totals, 1)
 
 
 @query("forecast_huber")
