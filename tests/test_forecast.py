@@ -85,10 +85,6 @@ def test_persistence_recovers_a_daily_factor(spark):
     assert ratios.count() == 24 and all(r.ratio == pytest.approx(2) for r in ratios.collect())
     made = attach_actuals(fc.predict_persistence(ratios, pairs), series)
     assert made.where("abs(act_val - pred_val) > 1e-6").isEmpty() and made.count() == 52 * 24
-    steps = fc.descend_persistence(pairs, pairs, 2, 20, 10, 0.5)
-    assert sorted({(r.epoch, r.batch) for r in steps.select("epoch", "batch").distinct().collect()}) == [(1, 10), (1, 20), (2, 30), (2, 40)]
-    errors = [r[0] for r in steps.groupBy("batch").agg(F.first("err_train").alias("e")).orderBy("batch").select("e").collect()]
-    assert errors == sorted(errors, reverse=True)
 
 
 def test_fourier_features_approximate_the_kernel(spark):

@@ -135,30 +135,6 @@ def predict_persistence(ratios: DataFrame, pairs: DataFrame, keys: Sequence[str]
     return joined.select(*keys, "base_pos", "horizon", "pos", (F.col("ratio") * F.col("x")).alias("pred_val"))
 
 
-def descend_persistence(train: DataFrame, test: DataFrame, epochs: int, batches: int, every: int, rate: float,
-                        keys: Sequence[str] = ("clust_id",)) -> DataFrame:
-    """Forecasts of the ratio model at the evaluated batches of a gradient descent from zero.
-
-    A step moves the ratio by ``rate`` of the way to its least-squares value, so every iterate follows from
-    three sums per cluster and horizon. ``batch`` counts over all epochs; ``err_train`` is the mean squared
-    training error of the cluster at that batch.
-    """
-    keys = list(keys)
-    sums = train.groupBy(*keys, "horizon").agg(
-        F.sum(F.col("x") * F.col("y")).alias("_xy"), F.sum(F.col("x") * F.col("x")).alias("_xx"),
-        F.sum(F.col("y") * F.col("y")).alias("_yy"), F.count("*").alias("_n"))
-    counted = sums.withColumn("batch", F.explode(F.sequence(F.lit(every), F.lit(epochs * batches), F.lit(every))))
-    reached = F.lit(1.0) - F.pow(F.lit(1.0 - rate), F.col("batch"))
-    ratios = counted.withColumns({
-        "epoch": F.floor((F.col("batch") - 1) / batches).cast("int") + 1,
-        "ratio": F.try_divide("_xy", "_xx") * reached})
-    square = F.col("_yy") - 2 * F.col("ratio") * F.col("_xy") + F.col("ratio") * F.col("ratio") * F.col("_xx")
-    errors = ratios.groupBy(*keys, "epoch", "batch").agg((F.sum(square) / F.sum("_n")).alias("err_train"))
-    models = ratios.select(*keys, "horizon", "epoch", "batch", "ratio").join(errors, [*keys, "epoch", "batch"])
-    return test.join(models, [*keys, "horizon"]).select(
-        *keys, "epoch", "batch", "base_pos", "horizon", "pos", (F.col("ratio") * F.col("x")).alias("pred_val"), "err_train")
-
-
 def even_steps(count: int) -> np.ndarray:
     """Irrational step lengths whose multiples, taken modulo 1, fill a cube of ``count`` dimensions evenly."""
     root = 2.0
