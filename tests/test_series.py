@@ -174,7 +174,7 @@ def test_joins_with_hot_keys(spark):
     dimension = spark.range(0, 3000, 2).selectExpr("id k", "id * 10 w")
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(str, facts.join(dimension, "k", how).collect()))
-        assert sorted(map(str, salted_join(facts, dimension, "k", "v", how).collect())) == want
+        assert sorted(map(str, salted_join(facts, dimension, "k", "v", how, 16).collect())) == want
         hot = hot_join(facts, dimension, "k", "v", how, share=50, least=0)
         assert sorted(map(str, hot.collect())) == want
     spread = hot_join(facts, dimension.where("k = 0"), "k", "v", share=50, least=0)
@@ -185,6 +185,9 @@ def test_keep_allocated(spark):
     readings = spark.createDataFrame([("1", "19501", 1.0), ("2", "19501", 2.0), ("3", "19501", 3.0)], "id string, code string, value double")
     alloc = spark.createDataFrame([("1", "1"), ("1", "2"), ("2", "3"), ("3", "2")], "id string, code string")
     assert rows(keep_allocated(readings, alloc).select("id", "value"), "id") == [("1", 1.0), ("3", 3.0)]
+    hot = spark.range(3000).selectExpr("cast(if(id % 3 = 0, 1, id) as string) id", "cast(id as string) code", "id * 1.0 value")
+    kept = keep_allocated(hot, alloc, least=100)  # the meter with a third of the readings is spread
+    assert kept.count() == 1001 and kept.where("id = 1").selectExpr("count(distinct code)").first()[0] == 1001 - kept.where("id = 3").count()
 
 
 def test_climate_join_rejects_repeated_days(spark):

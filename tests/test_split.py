@@ -11,7 +11,7 @@ from wattloom.functions.calendar import time_marks
 from wattloom.operators.split import (
     Split, base_positions, bootstrap_bases, check_season, every_nth, except_positions, in_season, intersect_positions,
     season_gaps, season_index, split_point, train_bases)
-from wattloom.operators.windows import decoder_seed, gather, horizon_targets, sequence_window, window_trend
+from wattloom.operators.windows import decoder_seed, gather, gather_steps, horizon_targets, sequence_window, window_trend
 
 
 def index_of(spark, start, hours):
@@ -117,6 +117,16 @@ def test_windows_and_targets(spark):
     assert marked.hour_prev == [22, 23, 0] and marked.day_prev == [1, 1, 2] and marked.weekday_next == [5] and marked.month_prev == [1, 1, 1]
 
 
+def test_steps_carry_marks(spark):
+    start = dt.datetime(2010, 1, 1)
+    series = spark.createDataFrame([(0, p, start + dt.timedelta(hours=p), None if p == 9 else float(p)) for p in range(30)], "clust_id int, pos long, time timestamp_ntz, value double")
+    marked = series.withColumns(time_marks(F.col("time")))
+    bases = spark.createDataFrame([(10,), (1,), (28,)], "pos long")
+    got = gather_steps(marked, bases, 3, 2, ["value", "day", "hour"]).collect()
+    assert [(r.base_pos, [tuple(s) for s in r.prev], [tuple(s) for s in r.next]) for r in got] == [
+        (10, [(8.0, 1, 8), (None, 1, 9), (10.0, 1, 10)], [(11.0, 1, 11), (12.0, 1, 12)])]
+
+
 def test_window_trend_and_seed(spark):
     values = [float(v) for v in np.random.default_rng(2).normal(size=16)]
     k, half = 5, 2

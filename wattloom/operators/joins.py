@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 HOT = 1 << 16
 
 
@@ -21,17 +20,16 @@ def salt_of(columns: Sequence[str], parts: Column) -> Column:
 
 
 def salted_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], spread_by: str | Sequence[str],
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi join in which the rows of one fact key are spread over ``salts`` tasks.
+                how: str, salts: int) -> DataFrame:
+    """Equi join in which the rows of every fact key are spread over ``salts`` tasks, where that number is known to fit.
 
     The salt is a hash of fact columns, so a repeated task gives the same rows; each dimension row is
     repeated once per salt. Works for inner, left, left_semi and left_anti joins.
     """
     keys = [key] if isinstance(key, str) else list(key)
     by = [spread_by] if isinstance(spread_by, str) else list(spread_by)
-    salt = salt_of(by, F.lit(salts))
     wide = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(wide, [*keys, "_salt"], how).drop("_salt")
+    return facts.withColumn("_salt", salt_of(by, F.lit(salts))).join(wide, [*keys, "_salt"], how).drop("_salt")
 
 
 def hot_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str], spread_by: str | Sequence[str],
@@ -65,11 +63,15 @@ def sized_join(facts: DataFrame, dimension: DataFrame, key: str | Sequence[str],
 
 
 def keep_allocated(readings: DataFrame, allocations: DataFrame, codes: Sequence[str] = ("1", "2"),
-                   key: str = "id", code: str = "code", salts: int = SALTS) -> DataFrame:
-    """Readings of meters that belong to one of the customer classes; a hot meter is salted by its other columns."""
+                   key: str = "id", code: str = "code", least: int = HOT) -> DataFrame:
+    """Readings of meters that belong to one of the customer classes.
+
+    The readings of each meter are counted; only a meter with too many for one task is spread, by its other columns, over
+    as many parts as its number asks for.
+    """
     spread_by = [c for c in readings.columns if c != key]
     meters = allocations.where(F.col(code).isin(*codes)).select(key).distinct()
-    return salted_join(readings, meters, key, spread_by, "left_semi", salts)
+    return hot_join(readings, meters, key, spread_by, "left_semi", least=least)
 
 
 def join_climate(calendar: DataFrame, climate: DataFrame, date: str = "date") -> DataFrame:

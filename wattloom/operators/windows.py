@@ -56,6 +56,17 @@ def gather(series: DataFrame, bases: DataFrame, prev_times: int, next_times: int
     return arrays.where((F.size("prev") == prev_times) & (F.size("next") == next_times))
 
 
+def gather_steps(series: DataFrame, bases: DataFrame, prev_times: int, next_times: int, columns: Sequence[str],
+                 keys: Sequence[str] = ("clust_id",)) -> DataFrame:
+    """Value and marks of every window step of the asked bases in one gather: keys, base_pos, prev, next.
+
+    A step is a struct of ``columns`` (for example the value and the time marks); nulls inside a step stay, and bases whose
+    window leaves the series are left out.
+    """
+    packed = series.select(*keys, "pos", F.struct(*columns).alias("_step"))
+    return gather(packed, bases, prev_times, next_times, keys, "_step")
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 

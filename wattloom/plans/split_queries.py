@@ -6,10 +6,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from wattloom.functions.calendar import time_marks
 from wattloom.operators.forecast import window_samples
 from wattloom.operators.series import cluster_totals, decompose, seasonal_lags
 from wattloom.operators.split import Split, except_positions, intersect_positions, season_gaps, season_index
-from wattloom.operators.windows import array_sum, decoder_seed, gather, horizon_targets, sequence_window
+from wattloom.operators.windows import array_sum, decoder_seed, gather, gather_steps, horizon_targets, sequence_window
 from wattloom.plans.inputs import (
     DAILY, DAILY_TOTAL_SQL, HOURLY, HOURLY_SPLIT_SQL, HOURLY_TOTAL_SQL, SEGMENT_TOTAL_SQL, daily_index, daily_series,
     daily_split, hourly_split, hourly_totals, segments, hourly_series, split_sql)
@@ -142,6 +143,20 @@ def gathered_windows(spark, sf):
     return checked(rows, "prev", "next")
 
 
+@query("window_marks", f"""
+    WITH {HOURLY_TOTAL_SQL}, {HOURLY_SPLIT_SQL}
+    SELECT t.pos AS base_pos, s.pos - t.pos AS step, month(s.time) AS month, day(s.time) AS day, isodow(s.time) - 1 AS weekday, hour(s.time) AS hour,
+      round(s.value, 6) AS value
+    FROM test t JOIN series s ON s.pos BETWEEN t.pos - {HOURLY.prev_times - 1} AND t.pos + {HOURLY.next_times}""")
+def window_marks(spark, sf):
+    """Time marks and value of each step of the test windows, past and future."""
+    series = hourly_totals(spark, sf)
+    marked = series.withColumns(time_marks(F.col("time")))
+    rows = gather_steps(marked, hourly_split(spark, sf).test, HOURLY.prev_times, HOURLY.next_times, ["month", "day", "weekday", "hour", "value"])
+    steps = rows.select("base_pos", F.posexplode(F.concat("prev", "next")).alias("at", "s"))
+    return rounded(steps.select("base_pos", (F.col("at") - HOURLY.prev_times + 1).cast("long").alias("step"), "s.*"), 6, "value")
+
+
 @query("seasonal_lags", f"""
     WITH {HOURLY_TOTAL_SQL}, {HOURLY_SPLIT_SQL},
     l AS (SELECT *, {", ".join(f"round(lag(value, {24 * j}) OVER (PARTITION BY clust_id ORDER BY pos), 6) AS lag_{j}" for j in range(1, 8))} FROM series)

@@ -33,20 +33,24 @@ def _header_at(cells: Column, header: Sequence[str]) -> Column:
     names, width = F.array(*map(F.lit, header)), len(header)
     spots = F.filter(
         F.sequence(F.lit(0), F.greatest(F.size(cells) - width, F.lit(0))),
-        lambda k: F.size(F.array_except(names, F.slice(cells, k + 1, width))) == 0)
+        # only a name can start the header, and only a name can end it: hardly a place is left to take a slice of
+        lambda k: F.array_contains(names, F.get(cells, k)) & F.array_contains(names, F.get(cells, k + width - 1)) & (F.size(F.array_except(names, F.slice(cells, k + 1, width))) == 0))
     return F.try_element_at(spots, F.lit(1))
 
 
 def _observation_tables(df: DataFrame, html: str, header: Sequence[str]) -> DataFrame:
     """Per page the cells of the table that holds the header (_cells) and where the header starts in it (_at)."""
     kept = [c for c in df.columns if c != html]
-    cells = F.transform(
+    raw = F.transform(
         F.split(F.col(html), r"(?i)</table\s*>"),
-        lambda part: _cell_texts(F.regexp_extract_all(part, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), F.lit(1))))
+        lambda part: F.regexp_extract_all(part, F.lit(r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), F.lit(1)))
+    # a table with fewer cells than the header cannot hold it, and its cells need no cleaning
+    cells = F.transform(F.filter(raw, lambda t: F.size(t) >= len(header)), _cell_texts)
     tables = df.select(*kept, cells.alias("_tables"))
+    places = F.transform("_tables", lambda t: F.struct(t.alias("cells"), _header_at(t, header).alias("at")))
     # the first table with all names; only its cells go on
-    held = tables.select(*kept, F.try_element_at(F.filter("_tables", lambda t: _header_at(t, header).isNotNull()), F.lit(1)).alias("_cells"))
-    return held.select(*kept, "_cells", _header_at(F.col("_cells"), header).alias("_at"))
+    held = tables.select(*kept, F.try_element_at(F.filter(places, lambda t: t["at"].isNotNull()), F.lit(1)).alias("_held"))
+    return held.select(*kept, F.col("_held.cells").alias("_cells"), F.col("_held.at").alias("_at"))
 
 
 def html_cells(df: DataFrame, html: str, header: Sequence[str] = WEATHER_HEADER) -> DataFrame:
