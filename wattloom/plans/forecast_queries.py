@@ -201,7 +201,7 @@ def forecast_huber(spark, sf):
     return result(fc.forecast_huber(train, test, SUMMER.next_times), totals, 1)
 
 
-RUN_MODELS = ("persistence", "ar")
+RUN_MODELS = ("persistence", "linear", "ar")
 
 
 def run_sql() -> str:
@@ -212,9 +212,10 @@ def run_sql() -> str:
         pairs AS (SELECT t.*, x.value AS x FROM targs t JOIN series x ON x.clust_id = t.grp AND x.pos = t.base + t.h - {conf.next_times}),
         ratios AS (SELECT grp, h, sum(x * y) / sum(x * x) AS ratio FROM pairs WHERE role = 'train' GROUP BY 1, 2),
         totals AS (SELECT base + h AS pos, sum(y) AS a, sum(ratio * x) AS p FROM pairs JOIN ratios USING (grp, h) WHERE role = 'test' GROUP BY 1)"""
-        lags = f"""{lag_features_sql(conf.next_times)}, {solve_sql(conf.next_times)},
-        totals AS (SELECT base + h AS pos, sum(a) AS a, sum(p) AS p FROM fitted GROUP BY 1)"""
-        for model, rest in zip(RUN_MODELS, (pairs, lags)):
+        fitted = "totals AS (SELECT base + h AS pos, sum(a) AS a, sum(p) AS p FROM fitted GROUP BY 1)"
+        last = f"{fixed_features_sql(['value'])}, {solve_sql(1)}, {fitted}"
+        lags = f"{lag_features_sql(conf.next_times)}, {solve_sql(conf.next_times)}, {fitted}"
+        for model, rest in zip(RUN_MODELS, (pairs, last, lags), strict=True):
             parts.append(f"""
             SELECT '{model}_noCluster_noFeatureReduce_{season}' AS run_code, * FROM (
               WITH RECURSIVE {body}, {rest} SELECT {", ".join(f"round({m}, 6) AS {m}" for m in METRICS)} FROM (SELECT {ERROR_SQL} FROM totals))""")
