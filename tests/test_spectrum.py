@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wattloom.operators.fourier import BAND, banded_correlation, grid_sides
 from wattloom.operators.spectrum import (
     autocorrelation, delay_aggregate, lag_correlation, roll, softmax, top_count, top_lags)
 
@@ -24,7 +26,7 @@ def test_circular_correlation(spark):
     np.testing.assert_allclose(got[1].c[0], np.dot(*pairs[1]), atol=1e-9)
 
 
-@pytest.mark.parametrize("length,max_lag,block", [(50, 10, 10), (50, 49, 8), (37, 12, 16), (37, 5, 4096), (40, 20, 20), (9, 8, 2)])
+@pytest.mark.parametrize("length,max_lag,block", [(50, 10, 10), (50, 49, 8), (50, 49, 64), (37, 12, 16), (37, 5, 4096), (40, 20, 20), (9, 8, 2)])
 def test_lag_correlation_in_blocks(spark, length, max_lag, block):
     rng = np.random.default_rng(length)
     data, want = [], {}
@@ -40,6 +42,40 @@ def test_lag_correlation_in_blocks(spark, length, max_lag, block):
         np.testing.assert_allclose(mine["corr"], want[s], atol=1e-9)
 
 
+@pytest.mark.parametrize("length,max_lag", [(1, 0), (50, 49), (700, 300), (3000, 2999)])
+def test_banded_correlation(spark, length, max_lag):
+    """Against a transform of the whole series; gaps and nulls are zeros, one series is all null."""
+    rng = np.random.default_rng(length)
+    data, want = [], {}
+    for name in ("x", None):
+        a, b = rng.normal(size=length), rng.normal(size=length)
+        gap, null = rng.random(length) < 0.2, rng.random(length) < 0.1
+        data += [(name, i, None if null[i] else float(a[i]), float(b[i])) for i in range(length) if not gap[i]]
+        a[gap | null], b[gap] = 0, 0
+        if not gap.all():
+            want[name] = np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), n=length)[: max_lag + 1]
+    data += [("empty", 0, None, None)]
+    want["empty"] = np.zeros(max_lag + 1)
+    df = spark.createDataFrame(data, "name string, pos long, a double, b double")
+    got = {}
+    for r in banded_correlation(df, max_lag, length, ["name"]).collect():
+        got.setdefault(r.name, {})[r.lag] = r["corr"]
+    assert got.keys() == want.keys()
+    for name, lags in got.items():
+        assert sorted(lags) == list(range(max_lag + 1))
+        np.testing.assert_allclose([lags[i] for i in range(max_lag + 1)], want[name], atol=1e-9)
+
+
+def test_long_lags_take_the_bands(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=26_000), rng.normal(size=26_000)
+    df = spark.createDataFrame(pd.DataFrame({"series_id": 0, "pos": np.arange(26_000), "a": a, "b": b}))
+    got = lag_correlation(df, 25_999, F.lit(26_000)).orderBy("lag").toPandas()["corr"]
+    np.testing.assert_allclose(got, np.fft.irfft(np.fft.rfft(a) * np.conj(np.fft.rfft(b)), n=26_000), atol=1e-7)
+    rows, cols = grid_sides(2 * 26_000)
+    assert rows * cols < 4 * 26_000 and max(rows, cols) * BAND < 26_000
+
+
 def test_nulls_count_as_zero(spark):
     df = spark.createDataFrame([(0, i, v, v) for i, v in enumerate([1.0, 2.0, None, 4.0])], "series_id int, pos long, a double, b double")
     got = lag_correlation(df, 3, F.lit(4)).orderBy("lag")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattloom.operators.fourier import banded_correlation
+
 SCOPES = ("batch", "series", "channel")
 
 
@@ -53,9 +55,12 @@ def lag_correlation(series: DataFrame, max_lag: int, length: Column, keys: Seque
 
     Columns ``a`` and ``b`` at positions 0..length-1, max_lag below the length; a null counts as 0. The series is cut into blocks
     of b; each block also holds the max_lag values of a that follow it. A block adds up all its lags by itself,
-    so a row is shuffled about twice, and one row per block and lag is added afterwards.
+    so a row is shuffled about twice, and one row per block and lag is added afterwards. Lags that reach further than a block
+    come from a transform of the whole series, cut into bands.
     """
-    block = max(block, max_lag)
+    if max_lag > block:
+        steps = series.sparkSession.range(1).select(length.cast("long")).first()[0]
+        return banded_correlation(series, max_lag, steps, keys)
     size = F.lit(block)
     ends = F.explode(F.array(F.col("pos"), F.col("pos") + length))
     turned = series.select(*keys, "a", ends.alias("_e")).where(F.col("_e") < length + max_lag)
