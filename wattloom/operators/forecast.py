@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wattloom.operators.insensitive import fit_insensitive
 from wattloom.operators.regress import fit_least_squares, linear_value
 from wattloom.operators.trees import fit_trees, predict_trees
 from wattloom.operators.windows import dot, sequence_window
@@ -176,6 +177,14 @@ def fit_rbf(train: DataFrame, keys: Sequence[str] = ("clust_id",), ridge: float
     return fit_least_squares(train, keys, ridge=ridge)
 
 
+def forecast_kernel(train: DataFrame, test: DataFrame, count: int = 64, keys: Sequence[str] = ("clust_id",),
+                    penalty: float = 1.0, epsilon: float = 0.1) -> DataFrame:
+    """Radial kernel regression with the insensitive loss on Fourier features, all clusters and horizons at once."""
+    width, gamma = train.select(F.max(F.size("features"))).first()[0], scale_gamma(train).scalar()
+    train, test = (fourier_features(part, width, gamma, count) for part in (train, test))
+    return predict_direct(fit_insensitive(train, keys, penalty, epsilon), test, keys)
+
+
 def _each_model(train: DataFrame, test: DataFrame, next_times: int, keys: Sequence[str], fit, parallelism: int) -> DataFrame:
     """Fit one estimator per cluster and horizon on a shared cached table, predict the test bases, stack.
 

@@ -27,7 +27,7 @@ from wattloom.sources.tables import cluster_code, only_missing, run_code, write_
 DBSCAN_EPS = {"tsne": 1.0, "umap": 0.25}
 DBSCAN_EPS_OTHER = 30.0
 
-MODELS = ("persistence", "linear", "ar", "dlinear", "rbf", "gbt")
+MODELS = ("persistence", "linear", "ar", "dlinear", "rbf", "gbt", "svr")
 FOURIER_COUNT = 64
 
 
@@ -96,7 +96,7 @@ def forecast_model(totals: DataFrame, split: Split, model: str, time_features: S
     ``totals`` holds the cluster totals and the time variables named in ``time_features``. With ``feature_dims`` the model
     sees that many principal components of its features, fitted on the training samples of each cluster and applied to
     both parts; ``seconds`` takes the time of the fit. Persistence has no features and dlinear needs its window as it is.
-    With ``meters`` (series and cluster map) linear, rbf and gbt see the value of each meter of the cluster at the base
+    With ``meters`` (series and cluster map) linear, rbf, svr and gbt see the value of each meter of the cluster at the base
     instead of their total.
     """
     conf, roles = split.conf, split.base_roles()
@@ -116,7 +116,7 @@ def forecast_model(totals: DataFrame, split: Split, model: str, time_features: S
     if model == "persistence":
         train, test = parts(fc.persistence_pairs(totals, roles, conf.next_times))
         return fc.predict_persistence(fc.persistence_ratio(train), test)
-    if model in ("linear", "rbf", "gbt"):
+    if model in ("linear", "rbf", "gbt", "svr"):
         samples = fc.supervised(totals, roles, conf.next_times, time_features)
         if meters is not None:
             samples = cut_lineage(samples.withColumn("features", F.slice("features", 2, len(time_features))))
@@ -128,6 +128,8 @@ def forecast_model(totals: DataFrame, split: Split, model: str, time_features: S
             return fc.predict_direct(fc.fit_linear(train), test)
         if model == "gbt":
             return fc.forecast_gbt(train, test)
+        if model == "svr":
+            return fc.forecast_kernel(train, test, FOURIER_COUNT)
         gamma, width = fc.scale_gamma(train).scalar(), train.select(F.max(F.size("features"))).first()[0]
         train, test = (fc.fourier_features(p, width, gamma, FOURIER_COUNT) for p in (train, test))
         return fc.predict_direct(fc.fit_rbf(train), test)

@@ -181,6 +181,15 @@ def forecast_rbf(spark, sf):
     return result(fc.predict_direct(fc.fit_rbf(train, ridge=RBF_RIDGE), test), totals, 3)
 
 
+@query("forecast_svr")
+def forecast_svr(spark, sf):
+    """Kernel regression with the insensitive loss, on the samples and waves of ``forecast_rbf``."""
+    totals, features = with_calendar(cut_lineage(hourly_totals(spark, sf)))
+    samples = cut_lineage(fc.supervised(totals, hourly_split(spark, sf).base_roles(), HOURLY.next_times, features))
+    train, test = (samples.where(F.col("role") == r).drop("role") for r in ("train", "test"))
+    return result(fc.forecast_kernel(train, test, RBF_COUNT), totals, 1)
+
+
 def daily_samples(spark, sf):
     """Last week of log totals at the summer bases, training and test part."""
     totals, split = cut_lineage(daily_series(spark, sf)), daily_split(spark, sf, "summer")

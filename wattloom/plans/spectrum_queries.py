@@ -46,15 +46,15 @@ def autocorr_lags(spark, sf):
     ends AS (SELECT min(step) AS lo, max(step) - min(step) + 1 AS n FROM readings),
     s AS (SELECT step - lo AS pos, value, n FROM readings, ends),
     sums AS (SELECT (x.pos - y.pos + x.n) % x.n AS lag, sum(x.value * y.value) AS corr FROM s x, s y GROUP BY 1)
-    SELECT lag, round(coalesce(corr, 0), 2) AS corr FROM (SELECT unnest(range(n)) AS lag FROM ends) LEFT JOIN sums USING (lag)""")
+    SELECT lag, round(coalesce(corr, 0), 4) AS corr FROM (SELECT unnest(range(n)) AS lag FROM ends) LEFT JOIN sums USING (lag)""")
 def autocorr_minutes(spark, sf):
     """All readings by the minute, a month long, against themselves at every lag."""
     minute = F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 60_000_000)
     sums = readings(spark, sf).groupBy(minute.alias("step")).agg(F.sum("value").cast("double").alias("a"))
     low, high = sums.agg(F.min("step"), F.max("step")).first()
     series = sums.select(F.lit(0).alias("series_id"), (F.col("step") - low).alias("pos"), "a", F.col("a").alias("b"))
-    # what rounds to no cent is zero, whatever its sign
-    return lag_correlation(series, high - low, F.lit(high - low + 1)).select("lag", (F.round("corr", 2) + F.lit(0.0)).alias("corr"))
+    # cents times cents have four places; what rounds to zero has no sign
+    return lag_correlation(series, high - low, F.lit(high - low + 1)).select("lag", (F.round("corr", 4) + F.lit(0.0)).alias("corr"))
 
 
 @query("window_autocorr", f"""
