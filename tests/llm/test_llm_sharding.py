@@ -1,10 +1,13 @@
 """Exact shard sizes, uniformity and edge cases of the sharding operator."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wattloom.llm import sharding
+from wattloom.llm.queries import QUERIES
 from wattloom.llm.sharding import hypergeometric, matrix_row, shuffle_to_shards
 
 
@@ -58,6 +61,26 @@ def test_large_populations():
     assert abs(found.mean() - drawn * good / total) < 5 * sd / 300**0.5 and 0.85 < found.std() / sd < 1.15
 
 
+def test_columns_of_any_name(spark):
+    own = ["_before", "_rank", "_cell", "_order", "_row", "part", "count"]
+    df = spark.range(100).select(F.col("id").alias("doc_id"), *[(F.col("id") * 2).alias(c) for c in own], F.lit(-1).alias("Slot"))
+    out = shuffle_to_shards(df, 3)
+    assert out.columns == ["doc_id", *own, "shard", "slot"]
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(100)) and all(r[c] == 2 * r["doc_id"] for r in rows for c in own)
+
+
+def test_query_shards_whole_documents(spark, sf):
+    """Digests against plain Python, gapless slots, and shards of equal size."""
+    want = {r["doc_id"]: (len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op1_sharding"](spark, sf).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == want and len(rows) == len(want)
+    slots = {k: sorted(r["slot"] for r in rows if r["shard"] == k) for k in range(40)}
+    assert all(s == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+
+
 def test_reruns_agree(spark):
     df = spark.range(200).selectExpr("id AS doc_id").repartition(4, "doc_id")
     once = {tuple(r) for r in shuffle_to_shards(df, 7).collect()}

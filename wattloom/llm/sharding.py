@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wattloom.session import cut_lineage
 
 #: Rows that one task of the last permutation sorts, about.
-CELL_ROWS = 1 << 18
+CELL_ROWS = 1 << 14
 #: From this population on numpy's own generator refuses.
 LARGE = 10**9
 
@@ -71,11 +71,11 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     Shard sizes differ by one at most, the first shards are the larger ones; slots run without a gap from 0. Every row,
     repeated or null or not, takes a slot of its own, so no group of equal rows can weigh on a shard. The rows are
     written to the checkpoint folder first: what a partition holds, and in which order, is then fixed for every later
-    try of a task, and so is the result. An empty table gives no rows. Columns named shard, slot, _cell or _order of
-    ``df`` are replaced.
+    try of a task, and so is the result. An empty table gives no rows. Columns of ``df`` named shard or
+    slot, in any case, are replaced; all others may have any name.
     """
-    kept = [c for c in df.columns if c not in ("shard", "slot", "_cell", "_order")]
-    held = cut_lineage(df.select(*kept))
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    held = cut_lineage(df.select(F.struct(*kept).alias("_row")))
     count = held.groupBy(F.spark_partition_id().alias("part")).count()
     found = {r["part"]: r["count"] for r in count.collect()}  # one number for each partition
     sizes = np.array([found.get(k, 0) for k in range(max(found, default=-1) + 1)], np.int64)
@@ -95,11 +95,11 @@ def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
             done += batch.num_rows
             order = rng.integers(0, 1 << 62, batch.num_rows)
             cell = (order >> 31) * cells >> 31  # shares of equal width of the order, cells < 2^31
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine), pa.array(cell), pa.array(order)], [*kept, "shard", "_cell", "_order"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine), pa.array(cell), pa.array(order)], ["_row", "shard", "_cell", "_order"])
 
     dealt = held.mapInArrow(deal, f"{fields}, shard int, _cell bigint, _order bigint")
     sums = dealt.groupBy("shard", "_cell").count()
     before = sums.selectExpr("shard", "_cell", "sum(count) over (partition by shard order by _cell) - count as _before")
     ranked = dealt.selectExpr("*", "row_number() over (partition by shard, _cell order by _order) - 1 as _rank")
     placed = ranked.join(before, ["shard", "_cell"])
-    return placed.select(*kept, "shard", (F.col("_before") + F.col("_rank")).cast("long").alias("slot"))
+    return placed.select(*[F.col("_row")[c].alias(c) for c in kept], "shard", (F.col("_before") + F.col("_rank")).cast("long").alias("slot"))
