@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from wattloom.llm.pareto_mix import mix, targets
 from wattloom.llm.queries import ORACLES, QUERIES
@@ -60,6 +61,19 @@ def test_edge_cases(spark):
     assert mix(df.where("false")).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    """Columns named like the intermediate ones stay; those named like results are replaced."""
+    own = ["whole", "part", "below", "last", "rest", "class", "step", "key", "n", "_u", "_r", "_s", "_c", "_row"]
+    rows = [(k, "w " * (k % 90 + 1), f"s{k % 3}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    named = df.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own], F.lit(-1).alias("Copies"), F.lit(-1).alias("taken"))
+    out = mix(named)
+    assert out.columns == ["doc_id", "text", "source", *own, "size", "source_size", "target", "copies", "taken"]
+    plain = {r["doc_id"]: r["taken"] for r in mix(df).collect()}
+    for r in out.collect():
+        assert r["taken"] == plain[r["doc_id"]] and all(r[c] == f"{c}{r['doc_id']}" for c in own)
+
+
 def test_sql(spark, sf):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

@@ -64,7 +64,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     times size. The random number is a hash of the key, so reruns agree. A null source is a source. Documents without
     words, and null texts, are never taken. Rows that agree in key, source and size are one unit: they are taken
     together, whatever their number, and their words count as often as they occur. Columns of ``docs`` with the names
-    of the new ones are replaced. An empty table gives no rows.
+    of the new ones, in any case, are replaced; all others may have any name. An empty table gives no rows.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
@@ -84,12 +84,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         LEFT JOIN (SELECT * FROM near WHERE upto - size * n / 2.0D <= rest) n ON e.source <=> n.source GROUP BY e.source, e.below""", ranked=ranked)
     cuts = cut_lineage(cuts)
     new = ("size", "source_size", "target", "copies", "taken")
-    kept = [c for c in docs.columns if c not in new]
-    row = docs.select(*kept, word_count(F.col(text)).alias("size"), F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.length(F.bin(word_count(F.col(text)))).alias("class")).alias("_u"))
+    kept = [c for c in docs.columns if c.lower() not in new]
+    row = docs.select(F.struct(*kept).alias("_row"), word_count(F.col(text)).alias("size"), F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.length(F.bin(word_count(F.col(text)))).alias("class")).alias("_u"))
     row = row.join(small_side(aims.select(F.col("source").alias("_s"), "source_size", "target")), F.col("_u.source").eqNullSafe(F.col("_s"))).drop("_s")
     row = row.join(small_side(classes.select(F.col("source").alias("_s"), F.col("class").alias("_c"), "whole", "part")), F.col("_u.source").eqNullSafe(F.col("_s")) & (F.col("_u.class") == F.col("_c")), "left").drop("_s", "_c")
     row = row.join(small_side(cuts.select(F.col("source").alias("_s"), "below", "last")), F.col("_u.source").eqNullSafe(F.col("_s")), "left").drop("_s")
     row = row.withColumn("_r", F.expr(_rank(seed, "_u.key")))
     drawn = F.expr(f"_r IS NOT NULL AND (floor(log2(_r) * {STEPS}) <= below OR struct(_r, _u.key, size) <= last)")
     row = row.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.when(drawn, 1).otherwise(0)).cast("int"))
-    return row.select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return row.select(*[F.col("_row")[c].alias(c) for c in kept], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
