@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ UNDETERMINED = "und"
 PIECE = 1 << 19
 #: Languages whose counts a task holds at a time.
 HELD = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _pieces(texts: Sequence[str]) -> Iterator[list[tuple[int, str, int]]]:
