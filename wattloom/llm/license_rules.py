@@ -9,6 +9,7 @@ suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -113,6 +114,17 @@ TEXTS = (
     ("proprietary", "confidential proprietary", "confidential and proprietary", 2, 0.6),
 )
 
+#: Identifiers of licenses as their words stand in a declaration, with the label. They differ from the names.
+IDENTIFIERS = (
+    ("mit", "mit"), ("mit-0", "mit 0"), ("isc", "isc"), ("zlib", "zlib"), ("wtfpl", "wtfpl"), ("unlicense", "unlicense"), ("0bsd", "0bsd"),
+    ("apache-2", "apache 2 0"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("bsd-4", "bsd 4 clause"),
+    ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3", "lgpl 3 0"), ("agpl-3", "agpl 3 0"),
+    ("mpl-1.1", "mpl 1 1"), ("mpl-2", "mpl 2 0"), ("epl-1", "epl 1 0"), ("epl-2", "epl 2 0"), ("osl-3", "osl 3 0"), ("eupl-1.2", "eupl 1 2"),
+    ("cc0-1", "cc0 1 0"), ("cc-by", "cc by [1-4] [05]"), ("cc-by-sa", "cc by sa [1-4] [05]"), ("cc-by-nc", "cc by nc [1-4] [05]"),
+    ("bsl-1", "bsl 1 0"), ("artistic-2", "artistic 2 0"), ("ms-pl", "ms pl"), ("odbl-1", "odbl 1 0"), ("ofl-1.1", "ofl 1 1"),
+    ("postgresql", "postgresql"), ("python-2", "python 2 0"),
+)
+
 #: Phrases that are found wherever their words stand consecutively.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -127,16 +139,35 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules: every family in every frame, and the sentences of license texts."""
+    """All rules: every family in every frame, the sentences of license texts, and declared identifiers."""
     version = lambda name: re.sub(r"~(\d)", r"(?: version)? v?\1(?: 0)?", name)
     drawn = [(label, needs, f"{before}(?:{version(name)}){after}", priority, sure) for label, needs, name in FAMILIES for before, after, priority, sure in FRAMES]
-    return [Rule(label, frozenset(needs.encode().split()), re.compile(f"(?<= )(?:{pattern})(?= )".encode()), priority, sure) for label, needs, pattern, priority, sure in (*drawn, *TEXTS)]
+    stated = [(label, f"spdx identifier {words.split(' [')[0]}", f"spdx licen[cs]e identifier {words}(?: or later| only)?", 7, 1.0) for label, words in IDENTIFIERS]
+    return [Rule(label, frozenset(needs.encode().split()), re.compile(f"(?<= )(?:{pattern})(?= )".encode()), priority, sure) for label, needs, pattern, priority, sure in (*drawn, *TEXTS, *stated)]
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class _Covers:
+    """Intervals, and whether one of them contains another; both in the order of starts and ends, so a look-up is a bisection."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Add an interval unless it lies in one that is there."""
+        at = bisect_right(self.starts, start)
+        if at and self.ends[at - 1] >= end:
+            return False
+        first, last = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        self.starts[first:max(first, last)] = [start]  # those that lie in the new one need not be asked again
+        self.ends[first:max(first, last)] = [end]
+        return True
+
+
 class Scanner:
     """All rules with an inverted index from their rarest needed word."""
 
@@ -160,20 +191,21 @@ class Scanner:
         if self.gated and known.isdisjoint(self.keys):
             return len(words), [], []
         line = b" " + b" ".join(words) + b" "
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))  # of each word, in the line
         base = []
         for phrase, needs, label in self.phrases:
             at = line.find(phrase) if needs <= known else -1
             while at >= 0:
-                base.append((line.count(b" ", 0, at), label))
+                base.append((int(np.searchsorted(ends, at, "right")), label))
                 at = line.find(phrase, at + 1)
         tried = [r for word in known & self.by_word.keys() for r in self.by_word[word] if r.needs <= known] if self.gated else self.rules
         found = [(-r.priority, m.start() - m.end(), m.start(), r.label, r.confidence) for r in tried for m in r.pattern.finditer(line)]
-        taken: list[tuple[int, int, str, float]] = []
+        taken, covers = [], _Covers()
         for _, length, start, label, sure in sorted(found):
             end = start - length
-            if not any(a <= start and end <= b for a, b, _, _ in taken):
+            if covers.add(start, end):
                 taken.append((start, end, label, sure))
-        spans = [(line.count(b" ", 0, a) - 1, line.count(b" ", 0, b) - 1, label, sure) for a, b, label, sure in taken]
+        spans = [(int(np.searchsorted(ends, a, "left")), int(np.searchsorted(ends, b, "left")), label, sure) for a, b, label, sure in taken]
         return len(words), sorted(base), sorted(spans)
 
 
