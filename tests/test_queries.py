@@ -11,7 +11,7 @@ import check
 
 QUICK = (
     "hourly_load", "allocated_readings", "first_reading_per_code", "filled_series", "calendar_features", "clean_observations",
-    "html_cells", "day_rollover", "climate_join", "window_arrays", "gathered_windows", "autocorr_lags", "top_lags",
+    "html_cells", "day_rollover", "climate_join", "window_arrays", "gathered_windows", "autocorr_lags", "autocorr_minutes", "top_lags",
     "forecast_errors", "train_errors", "forecast_ar", "batch_errors", "evaluated_batches", "window_marks", "pca_profiles", "forecast_meters",
 )
 
