@@ -1,6 +1,7 @@
 """The run-length index and the removal of repeats against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -153,3 +154,14 @@ def test_whole_characters(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
+
+
+def test_index_memory_per_byte():
+    rng = np.random.default_rng(2)
+    words = rng.integers(97, 123, (3000, 40)).astype(np.uint8)
+    segments = [words[rng.integers(0, 3000, 6)].tobytes() for _ in range(2500)]
+    tracemalloc.start()
+    RunIndex(segments, np.arange(len(segments)), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 130 * sum(map(len, segments))  # 173 bytes a byte, when all rows were compared at once in 64-bit numbers

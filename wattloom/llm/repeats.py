@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -253,15 +254,16 @@ def _match(size: int, buckets: int):
         is_query = table["anchors"].is_valid().to_numpy(zero_copy_only=False)
         out = [pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.bool_())], ["bucket", "blob", "marked"])]
         if is_query.any() and not is_query.all():
-            references, queries = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
+            references, asking = table.filter(pa.array(~is_query)), np.flatnonzero(is_query)
             index = RunIndex(references["bytes"].to_pylist(), references["doc"].to_numpy(), size)
-            texts = queries["bytes"].to_pylist()
-            for slab in _slabs([len(t) for t in texts]):
-                marks, left = _open_and_marked(index, queries.slice(slab.start, slab.stop - slab.start), texts[slab], size)
+            del references
+            for slab in _slabs(pc.binary_length(table["bytes"]).to_numpy()[asking].tolist()):
+                queries = table.take(asking[slab])  # a slab at a time: neither the texts nor the rows are held twice
+                marks, left = _open_and_marked(index, queries, queries["bytes"].to_pylist(), size)
                 for found, kinds, by in ((marks, _MARKS, xxhash_long(marks[0])), (left, _OPEN, left[1])):
                     batch = dealt(by % buckets, found, kinds)
                     out.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array([kinds is _MARKS] * batch.num_rows, pa.bool_())], ["bucket", "blob", "marked"]))
-            del index, texts, references, queries
+            del index, queries
         give_back()
         return pa.Table.from_batches(out)
 

@@ -12,39 +12,51 @@ import numpy as np
 
 #: Up to this many symbols, two ranks and a position fit into one 64-bit number.
 PACKED = (1 << 21) - 2
+#: Rows of the index that are compared with their successors at a time.
+ROWS = 1 << 17
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Sorted suffixes by prefix doubling; the last symbol must be smaller than, or different from, all others."""
     count = len(symbols)
-    _, rank = np.unique(symbols, return_inverse=True)
-    place, step = np.arange(count, dtype=np.uint64), 1
-    bits = np.uint64(21)
+    kind = _kind(count)
+    used = np.zeros(int(symbols.max()) + 1, bool)
+    used[symbols] = True
+    rank = (np.cumsum(used, dtype=kind) - kind(1))[symbols]
+    place, bits, step = np.arange(count, dtype=np.uint32 if kind is np.int32 else np.uint64), np.uint64(21), 1
+    packs = count <= PACKED
     while True:
-        ahead = np.zeros(count, np.int64)
-        ahead[:max(0, count - step)] = rank[step:] + 1
-        if count <= PACKED:
-            packed = np.sort((rank.astype(np.uint64) << np.uint64(42)) | (ahead.astype(np.uint64) << bits) | place)
-            order = (packed & np.uint64((1 << 21) - 1)).astype(np.int64)
-            pair = packed >> bits
-            new = np.concatenate([[False], pair[1:] != pair[:-1]])
+        pair = rank.astype(np.uint64)
+        pair <<= bits if packs else np.uint64(32)
+        if step < count:
+            pair[:count - step] += (rank[step:] + kind(1)).view(np.uint32 if kind is np.int32 else np.uint64)
+        if packs:
+            pair <<= bits
+            pair |= place
+            pair.sort()
+            order = (pair & np.uint64((1 << 21) - 1)).astype(kind)
+            pair >>= bits
         else:
-            order = np.lexsort((ahead, rank))
-            new = np.concatenate([[False], (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])])
-        rank = np.empty(count, np.int64)
-        rank[order] = np.cumsum(new)
+            order = np.argsort(pair).astype(kind)
+            pair = pair[order]
+        new = np.zeros(count, bool)
+        np.not_equal(pair[1:], pair[:-1], out=new[1:])
+        del pair
+        rank[order] = np.cumsum(new, dtype=kind)
         step *= 2
-        if new.sum() == count - 1:
+        if np.count_nonzero(new) == count - 1:
             return order
 
 
+def _kind(count: int) -> type:
+    """Places and ranks take half the memory where they fit into 32 bits."""
+    return np.int32 if count < 2**31 - 1 else np.int64
+
+
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from every place on, the first one lowest."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        out |= padded[k:k + len(text)] << np.uint64(8 * k)
-    return out
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.ndarray(len(text), "<u8", padded, strides=(1,)).copy()
 
 
 class RunIndex:
@@ -55,20 +67,23 @@ class RunIndex:
         text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
         ends = np.cumsum(sizes + 1) - 1
         count = len(segments)
-        symbols = text.astype(np.int64) + count
+        kind = _kind(len(text))
+        symbols = text.astype(kind) + kind(count)
         symbols[ends] = np.arange(count)  # every segment ends in a symbol of its own
         order = suffix_array(symbols)
-        segment = np.repeat(np.arange(count), sizes + 1)
+        del symbols
+        segment = np.repeat(np.arange(count, dtype=kind), sizes + 1)
         self.depth = depth
         self.words = _words(text)
-        self.left = ends[segment] - np.arange(len(text))  # bytes up to the end of the segment
-        before = symbols[order - 1] - count  # the transform; below 0: an end
-        head = np.where(before < 0, -1, before)
+        self.left = ends.astype(kind)[segment] - np.arange(len(text), dtype=kind)  # bytes up to the end of the segment
+        head = text[order - 1].astype(np.int16)  # the transform
+        head[self.left[order - 1] == 0] = -1  # an end
+        counts = np.bincount(text, minlength=256) - np.bincount(text[ends], minlength=256)
         starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-        self.starts, self.heads = starts, head[starts]
+        self.starts, self.heads = starts, head[starts].astype(np.int64)
         lasts = np.append(starts[1:], len(head)) - 1
         lengths = lasts - starts + 1
-        counts = np.bincount(symbols[symbols >= count] - count, minlength=256)
+        del head
         first = count + np.concatenate([[0], np.cumsum(counts)[:-1]])  # first row of each byte
         by_head = np.argsort(self.heads, kind="stable")
         grouped = self.heads[by_head]
@@ -77,12 +92,15 @@ class RunIndex:
         within = within - within[opening]
         self.shift = np.zeros(len(starts), np.int64)
         self.shift[by_head] = first[np.maximum(grouped, 0)] + within - starts[by_head]
-        self.at_first, self.at_last = order[starts], order[lasts]  # sampled run ends
+        self.at_first, self.at_last = order[starts].astype(np.int64), order[lasts].astype(np.int64)  # sampled run ends
         self.lasts = lasts
         self.run_key = grouped * len(starts) + by_head  # runs by symbol, then by row
         self.by_head = by_head
-        same = self.common(order[1:], order[:-1], np.full(len(order) - 1, depth)) >= depth
-        self.classes = np.flatnonzero(np.concatenate([[True], ~same]))  # rows that agree in ``depth`` bytes
+        opens = np.ones(len(order), bool)
+        for begin in range(1, len(order), ROWS):
+            here = order[begin - 1:begin + ROWS]
+            opens[begin:begin + ROWS] = self.common(here[1:], here[:-1], np.full(len(here) - 1, depth)) < depth
+        self.classes = np.flatnonzero(opens)  # rows that agree in ``depth`` bytes
         self.smallest = np.minimum.reduceat(owners[segment[order]], self.classes)
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
