@@ -121,3 +121,15 @@ def test_pairs_full_of_junk(spark):
 def test_only_jvm_operations(spark, sf):
     plan = judge(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_repeated_lines_and_words_decide_too(spark):
+    rng = random.Random(8)
+    prose = prose_of(rng, random_words(rng))
+    rows = [(0, prose()) for _ in range(200)]
+    for _ in range(20):  # 85 of 185 words lie in one line that is there 17 times: below the base rule, without symbols
+        line, words = " ".join(prose().split()[:5]), prose(100).split()[:100]
+        rows.append((1, "\n".join([*(" ".join(words[k:k + 5]) for k in range(0, 100, 5)), *[line] * 17])))
+    out = judge(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))).collect()
+    assert not any(r["base_failed"] for r in out)
+    assert all(r["kept"] == (r["doc_id"] == 0) for r in out)

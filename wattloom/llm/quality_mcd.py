@@ -69,6 +69,8 @@ LEAST_UNIT = 0.4
 #: Share of the texts in an estimate of the highest breakdown point, and what makes the covariance of the nearest half
 #: that of all under a normal law: 0.5 / P(chi square with seven degrees of freedom <= MEDIAN_CHI2).
 HALF, HALF_CONSISTENCY = 0.5, 1.912
+#: Distance that one text in a million exceeds under a normal law (chi square with five degrees of freedom).
+CUTOFF = 5.99
 
 
 def _group(lang: str, source: str, level: int) -> Column:
@@ -145,12 +147,13 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 8, consi
     return cut_lineage(estimates.join(unit, "g"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_words: int = 50, most_repeated: int = 50, least_texts: int = 50, cutoff: float = 14.0) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_words: int = 50, most_repeated: int = 50, least_texts: int = 50, cutoff: float = CUTOFF) -> DataFrame:
     """One row per document: key, lang, source, the counts, base_failed, distance (null if base_failed) and kept.
 
     base_failed: fewer than ``least_words`` words, or more than ``most_repeated`` per cent of them repeated. The others
-    are kept unless their robust distance is above ``cutoff``. Text statistics have much longer tails than a normal law,
-    so the cutoff is wide: clean texts lie within some 10 units, texts with symbols at every second word beyond 20.
+    are kept unless their robust distance is above ``cutoff``, a far quantile of the normal law, since text statistics have
+    longer tails. It has to be within reach of every statistic: those with an upper end, as the shares of repeated words
+    and lines, give at most some 7 to 8 units each.
     Estimates come from the distinct texts of a language and source that pass the base rules, however often each is
     there; up to some 45 per cent of them may be junk. Null languages and sources are groups of their own; pairs with
     fewer than ``least_texts`` distinct texts are pooled. A null or empty text fails. Repeated rows and null keys stay, other
