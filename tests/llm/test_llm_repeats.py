@@ -4,13 +4,14 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wattloom.llm import repeats
 from wattloom.llm.blobs import dealt, gathered, xxhash_long
 from wattloom.llm.repeats import GRAM, remove_repeats, winnow
-from wattloom.llm.rl_index import RunIndex, suffix_array
+from wattloom.llm.rl_index import RunIndex, doubled, first_ranks, suffix_array
 
 
 def test_suffix_array(monkeypatch):
@@ -165,3 +166,52 @@ def test_index_memory_per_byte():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 130 * sum(map(len, segments))  # 173 bytes a byte, when all rows were compared at once in 64-bit numbers
+
+
+def test_first_ranks_lead_to_the_same_suffix_array():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        letters = int(rng.choice([1, 2, 4, 256]))
+        segments = [rng.integers(0, letters, rng.integers(0, 40)).astype(np.uint8).tobytes() for _ in range(rng.integers(1, 7))]
+        segments += segments[:2]
+        text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
+        ends = np.cumsum([len(s) + 1 for s in segments]) - 1
+        symbols = text.astype(np.int32) + len(segments)
+        symbols[ends] = np.arange(len(segments))
+        left = (ends[np.repeat(np.arange(len(segments)), np.diff(ends, prepend=-1))] - np.arange(len(text))).astype(np.int32)
+        assert doubled(*first_ranks(text, left)).tolist() == suffix_array(symbols).tolist()
+
+
+def test_rows_of_one_document_are_dropped_before_the_sort(monkeypatch):
+    rng = np.random.default_rng(6)
+    count = 5000
+    gram = np.concatenate([rng.integers(0, 2**47, count), np.arange(60)])  # the last 60 are also in another document
+    gram = np.concatenate([gram, np.arange(60)])
+    doc = np.concatenate([np.repeat(7, count + 60), np.repeat(2**63 - 1, 60)])
+    place = np.arange(len(gram))
+    columns = [doc, (gram >> 32), gram & 0xFFFFFFFF, place]
+    blobs = dealt(place % 5, columns, repeats._GRAMS).column(1)
+    rows = lambda: {k for b in repeats._grams(iter([pa.RecordBatch.from_arrays([blobs[k:k + 1]], ["blob"]) for k in range(5)])) for k in b.column(2).to_pylist()}
+    shared = set(range(count, count + 120))
+    assert shared <= rows() and len(rows()) < 0.5 * count
+    monkeypatch.setattr(repeats, "HELD_BYTES", 0)  # too large to be held: all go on
+    assert rows() == set(range(count + 120))
+
+
+def test_matches_brute_force_in_small_chunks(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = planted(rng, 40) + [(None, "yy " * 40), (4, "yy " * 40), (90, "q" * 300), (91, "q" * 120)]
+    for held, chunk in ((0, 7), (500, 100)):
+        for name, value in (("HELD_BYTES", held), ("CHUNK", chunk), ("ROWS", 100)):
+            monkeypatch.setattr(repeats, name, value)
+        assert found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == brute(rows)
+
+
+def test_winnowing_memory_per_byte():
+    text = np.random.default_rng(3).integers(97, 123, 2 << 20).astype(np.uint8)
+    ends = np.full(len(text), len(text))
+    tracemalloc.start()
+    winnow(text, ends, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * len(text)  # 49 bytes a byte, when the hashes of a whole slab were held at once

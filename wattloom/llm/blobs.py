@@ -35,7 +35,11 @@ def unpacked(blob: bytes, kinds: Sequence[str]) -> list[np.ndarray]:
 
 def dealt(key: np.ndarray, columns: Sequence[np.ndarray], kinds: Sequence[str]) -> pa.RecordBatch:
     """A row (key, blob) for each key. The first column is sorted within a key and kept as differences."""
-    order = np.lexsort((columns[0], key))
+    first = columns[0]
+    order = np.arange(len(first)) if len(first) < 2 or (first[1:] >= first[:-1]).all() else np.argsort(first, kind="stable")
+    if len(key) and 0 <= key.min() and key.max() < 1 << 16:
+        key = key.astype(np.uint16)  # sorted by its digits
+    order = order[np.argsort(key[order], kind="stable")]
     key = key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
     first = columns[0][order].astype(np.int64)

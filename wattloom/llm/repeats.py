@@ -10,6 +10,7 @@ their gram is shared, may still repeat in documents that are not the owner: thes
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,11 @@ from wattloom.llm.rl_index import RunIndex
 GRAM = 26
 #: Text bytes of a group of documents, and query bytes of a part of a block, about.
 HOME_BYTES, QUERY_BYTES = 4 << 20, 16 << 20
-#: Pattern bytes that are streamed as one (two windows at least), and text bytes that are hashed at a time.
-PIECE, SLAB = 256, 1 << 20
-#: Rows that a task holds before it deals them out.
-HELD_ROWS = 1 << 18
+#: Pattern bytes that are streamed as one (two windows at least), and text bytes that are dealt and hashed at a time.
+PIECE, SLAB, CHUNK = 256, 1 << 20, 1 << 15
+#: Rows that a task holds before it deals them out, bytes of blobs that it holds to look for rows without a partner, and
+#: rows that it gives at a time.
+HELD_ROWS, HELD_BYTES, ROWS = 1 << 18, 64 << 20, 1 << 16
 _NONE = np.uint64(2**64 - 1)
 #: Kinds of the numbers in blobs: grams by bucket, shared places by home, open windows by bucket, marks by home.
 _GRAMS = ("<i8", "<u2", "<u4", "<i4")
@@ -77,14 +79,23 @@ def window_minima(text: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.nda
 
 def winnow(text: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are the smallest of some window; all of them on a tie."""
-    if len(text) < size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams, starts, minima = window_minima(text, ends, size)
-    width = size - GRAM + 1
+    picked = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for begin in range(0, len(text) - GRAM + 1, CHUNK):  # a chunk at a time: its numbers stay in the processor's cache
+        low, high = max(begin - size + GRAM, 0), min(begin + CHUNK - 1 + size, len(text))  # all windows of the chunk's grams
+        if high - low >= size:
+            at, grams = _winnowed(text[low:high], ends[low:high] - low, size)
+            mine = slice(*np.searchsorted(at, [begin - low, begin - low + CHUNK]))
+            picked.append((at[mine] + low, grams[mine]))
+    return tuple(map(np.concatenate, zip(*picked, strict=True)))
+
+
+def _winnowed(text: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    grams, width = np.minimum(gram_hashes(text, GRAM), _NONE - np.uint64(1)), size - GRAM + 1
+    count = len(text) - size + 1
     least = np.zeros(len(grams) + width - 1, np.uint64)  # at place w + width - 1: the minimum of window w, plus one
-    least[starts + width - 1] = np.minimum(minima, _NONE - np.uint64(1)) + np.uint64(1)
+    np.add(_sliding(grams, width, np.minimum), np.uint64(1), out=least[width - 1:width - 1 + count], where=np.arange(size, size + count) <= ends[:count])
     reach = _sliding(least, width, np.maximum)
-    at = np.flatnonzero(np.minimum(grams, _NONE - np.uint64(1)) + np.uint64(1) == reach[:len(grams)])
+    at = np.flatnonzero(grams + np.uint64(1) == reach[:len(grams)])
     return at, grams[at]
 
 
@@ -121,12 +132,50 @@ def _pick(size: int, buckets: int):
     return run
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """The batches of a partition, the first ones as one; and whether that is the whole partition."""
+    first, size = [], 0
     for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            doc, high, low, place = gathered([blob], _GRAMS)
-            gram = (high.astype(np.int64) << 32) | low.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc), pa.array(place)], ["gram", "doc", "place"])
+        first.append(batch)
+        size += batch.nbytes
+        if size > HELD_BYTES:
+            break
+    else:
+        if first:
+            yield True, pa.concat_batches(first)
+        return
+    for batch in itertools.chain(first, batches):
+        yield False, batch
+
+
+def _elsewhere(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """False only for rows whose hash no other document has: documents are compared by slots of the hashes."""
+    bits = max(4, (4 * len(hashes)).bit_length())
+    slot = ((hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    one = np.zeros(1 << bits, np.int32 if len(hashes) < 2**31 else np.int64)
+    one[slot] = np.arange(len(slot))
+    several = np.zeros(1 << bits, bool)
+    several[slot[docs[one[slot]] != docs]] = True
+    return several[slot]
+
+
+def _cut_up(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names)
+    for begin in range(0, whole.num_rows, ROWS):
+        yield whole.slice(begin, ROWS)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the blobs of a bucket; without the grams of one document only, if the partition can be held."""
+    for whole, batch in _held(batches):
+        doc, high, low, place = gathered(batch.column(0).to_pylist(), _GRAMS)
+        gram = (high.astype(np.int64) << 32) | low.astype(np.int64)
+        columns = [gram, doc, place]
+        if whole:
+            keep = np.flatnonzero(_elsewhere(gram, doc))
+            columns = [c[keep] for c in columns]
+        yield from _cut_up(columns, ["gram", "doc", "place"])
+    give_back()
 
 
 def _homes(docs: np.ndarray, homes: int) -> np.ndarray:
@@ -218,30 +267,29 @@ def _segments(size: int, homes: int):
         order = np.lexsort((place, at))
         at, place, owner = at[order], place[order].astype(np.int64), owner[order]
         block = _homes(owner, homes)
-        out: list[list] = [[] for _ in range(6)]
-        done = set()
-        for doc, variant, value in zip(docs.tolist(), _variants(docs, values), values, strict=True):
-            if (doc, variant) in done:
-                continue
-            done.add((doc, variant))
-            lo, hi = np.searchsorted(at, [doc, doc + 1]) if doc < np.iinfo(np.int64).max else (np.searchsorted(at, doc), len(at))
-            own = owner[lo:hi] == doc
-            for reference in (True, False):
-                mine = np.flatnonzero(own == reference) + lo
-                mine = mine[place[mine] + GRAM <= len(value)]
-                mine = mine[np.lexsort((place[mine], block[mine]))]
-                edges = np.flatnonzero(np.diff(block[mine])) + 1
-                for rows in np.split(mine, edges) if len(mine) else []:
-                    places = place[rows]
-                    for first, last in zip(*_merged(np.maximum(places - around, 0), np.minimum(places + size, len(value))), strict=True):
-                        out[0].append(int(block[rows[0]]))
-                        out[1].append(doc)
-                        out[2].append(variant)
-                        out[3].append(int(first))
-                        out[4].append(value[first:last])
-                        out[5].append(None if reference else (places[np.searchsorted(places, first):np.searchsorted(places, last)] - first).tolist())
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
-        return pa.table([pa.array(column, kind) for column, kind in zip(out, kinds, strict=True)], names=["block", "doc", "variant", "start", "bytes", "anchors"])
+        variants = np.array(_variants(docs, values), np.int64)
+        once = np.sort(np.unique(np.stack([docs, variants]), axis=1, return_index=True)[1]) if len(docs) else np.empty(0, np.int64)
+        docs, variants, values = docs[once], variants[once], [values[k] for k in once.tolist()]
+        sizes = np.array([len(v) for v in values], np.int64)
+        lo, hi = np.searchsorted(at, docs), np.searchsorted(at, docs, "right")
+        which = np.repeat(np.arange(len(docs)), hi - lo)
+        rows = np.arange(len(which)) + np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo)
+        inside = place[rows] + GRAM <= sizes[which]
+        which, rows = which[inside], rows[inside]
+        asks = owner[rows] != docs[which]
+        order = np.lexsort((place[rows], block[rows], asks, which))
+        which, rows, asks = which[order], rows[order], asks[order]
+        block, place = block[rows], place[rows]
+        first, last = np.maximum(place - around, 0), np.minimum(place + size, sizes[which])
+        new = np.ones(len(rows), bool)  # of a document's rows for a block, both ends of the intervals ascend
+        new[1:] = (which[1:] != which[:-1]) | (asks[1:] != asks[:-1]) | (block[1:] != block[:-1]) | (first[1:] > last[:-1])
+        starts = np.flatnonzero(new)
+        stops = np.append(starts[1:], len(rows))[:len(starts)]
+        segment = which[starts]
+        parts = [values[k][x:y] for k, x, y in zip(segment.tolist(), first[starts].tolist(), last[stops - 1].tolist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)), pa.int32()), pa.array(place - np.repeat(first[starts], stops - starts), pa.int32()), mask=pa.array(~asks[starts]))
+        columns = (pa.array(block[starts], pa.int64()), pa.array(docs[segment], pa.int64()), pa.array(variants[segment], pa.int32()), pa.array(first[starts], pa.int32()), pa.array(parts, pa.binary()), lists)
+        return pa.table(list(columns), names=["block", "doc", "variant", "start", "bytes", "anchors"])
 
     return run
 
@@ -331,18 +379,22 @@ def _open_and_marked(index: RunIndex, queries: pa.Table, texts: list[bytes], siz
 
 
 def _windows(size: int):
-    """Rows of blobs: marks without hashes, open windows with two."""
+    """Rows of blobs: marks without hashes, open windows with two; without the windows of one document only, if the
+    partition can be held."""
+    names = ["one", "two", "doc", "variant", "start", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if marked:
-                    doc, variant, start, stop = gathered([blob], _MARKS)
-                    hashes = [xxhash_long(doc), np.full(len(doc), -1)]
-                else:
-                    doc, one, two, variant, start = gathered([blob], _OPEN)
-                    hashes, stop = [one, two.astype(np.int64)], start + np.int32(size)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, [*hashes, doc, variant, start, stop])), ["one", "two", "doc", "variant", "start", "stop"])
+        for whole, batch in _held(batches):
+            is_mark = batch.column(1).to_numpy(zero_copy_only=False)
+            doc, variant, start, stop = gathered(batch.column(0).filter(pa.array(is_mark)).to_pylist(), _MARKS)
+            yield from _cut_up([xxhash_long(doc), np.full(len(doc), -1), doc, variant, start, stop], names)
+            doc, one, two, variant, start = gathered(batch.column(0).filter(pa.array(~is_mark)).to_pylist(), _OPEN)
+            columns = [one, two.astype(np.int64), doc, variant, start, start + np.int32(size)]
+            if whole:
+                keep = np.flatnonzero(_elsewhere(one, doc))
+                columns = [c[keep] for c in columns]
+            yield from _cut_up(columns, names)
+        give_back()
 
     return run
 
@@ -424,7 +476,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     homes = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // HOME_BYTES
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grams = rows.select("doc", "text").mapInArrow(_pick(size, buckets), "key bigint, blob binary").repartition("key").select("blob")
-    sorted_grams = grams.mapInArrow(_grams, "gram bigint, doc bigint, place int").sortWithinPartitions("gram", "doc", "place")
+    sorted_grams = grams.mapInArrow(_grams, "gram bigint, doc bigint, place int").sortWithinPartitions("gram", "doc")
     shared = written(sorted_grams.mapInArrow(_elect(homes), "home bigint, blob binary, asked bigint"))
     # A query segment adds about half a window for each of its places.
     salts = F.ceil(F.sum("asked") * size / 2 / QUERY_BYTES).cast("int")

@@ -10,20 +10,48 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Up to this many symbols, two ranks and a position fit into one 64-bit number.
+#: Up to this many symbols, two ranks and a position (or the first symbols and a position) fit into one 64-bit number.
 PACKED = (1 << 21) - 2
 #: Rows of the index that are compared with their successors at a time.
 ROWS = 1 << 17
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Sorted suffixes by prefix doubling; the last symbol must be smaller than, or different from, all others."""
-    count = len(symbols)
-    kind = _kind(count)
+    """Sorted suffixes; the last symbol must be smaller than, or different from, all others."""
     used = np.zeros(int(symbols.max()) + 1, bool)
     used[symbols] = True
-    rank = (np.cumsum(used, dtype=kind) - kind(1))[symbols]
-    place, bits, step = np.arange(count, dtype=np.uint32 if kind is np.int32 else np.uint64), np.uint64(21), 1
+    kind = _kind(len(symbols))
+    return doubled((np.cumsum(used, dtype=kind) - kind(1))[symbols], 1)
+
+
+def first_ranks(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of the suffixes by as many symbols as fit into one sort, and that number. Of segments laid end to end, each
+    with an end of its own; ends are smaller than bytes, and among themselves ordered by place. ``left``: bytes up to it."""
+    used = np.zeros(256, bool)
+    used[text[left > 0]] = True
+    codes, bits = np.cumsum(used).astype(np.uint16)[text], int(used.sum()).bit_length() or 1
+    step = min(8, 43 // bits, len(text))
+    keys = np.zeros(len(text), np.uint64)
+    for k in range(step):
+        keys <<= np.uint64(bits)
+        keys[:len(text) - k] |= codes[k:] * (left[:len(text) - k] > k)
+    keys <<= np.uint64(21)
+    keys |= np.arange(len(text), dtype=np.uint32)
+    keys.sort()
+    order = (keys & np.uint64((1 << 21) - 1)).astype(np.int32)
+    keys >>= np.uint64(21)
+    new = np.zeros(len(text), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (left[order[1:]] < step)  # up to an end: equal but for the ends
+    rank = np.empty(len(text), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank, step
+
+
+def doubled(rank: np.ndarray, step: int) -> np.ndarray:
+    """Sorted suffixes by prefix doubling, from their dense ranks by ``step`` symbols."""
+    count = len(rank)
+    kind = _kind(count)
+    place, bits = np.arange(count, dtype=np.uint32 if kind is np.int32 else np.uint64), np.uint64(21)
     packs = count <= PACKED
     while True:
         pair = rank.astype(np.uint64)
@@ -68,14 +96,17 @@ class RunIndex:
         ends = np.cumsum(sizes + 1) - 1
         count = len(segments)
         kind = _kind(len(text))
-        symbols = text.astype(kind) + kind(count)
-        symbols[ends] = np.arange(count)  # every segment ends in a symbol of its own
-        order = suffix_array(symbols)
-        del symbols
         segment = np.repeat(np.arange(count, dtype=kind), sizes + 1)
+        self.left = ends.astype(kind)[segment] - np.arange(len(text), dtype=kind)  # bytes up to the end of the segment
+        if len(text) <= PACKED:
+            order = doubled(*first_ranks(text, self.left))
+        else:
+            symbols = text.astype(kind) + kind(count)
+            symbols[ends] = np.arange(count)  # every segment ends in a symbol of its own
+            order = suffix_array(symbols)
+            del symbols
         self.depth = depth
         self.words = _words(text)
-        self.left = ends.astype(kind)[segment] - np.arange(len(text), dtype=kind)  # bytes up to the end of the segment
         head = text[order - 1].astype(np.int16)  # the transform
         head[self.left[order - 1] == 0] = -1  # an end
         counts = np.bincount(text, minlength=256) - np.bincount(text[ends], minlength=256)
@@ -94,14 +125,15 @@ class RunIndex:
         self.shift[by_head] = first[np.maximum(grouped, 0)] + within - starts[by_head]
         self.at_first, self.at_last = order[starts].astype(np.int64), order[lasts].astype(np.int64)  # sampled run ends
         self.lasts = lasts
+        self.run_of = np.repeat(np.arange(len(starts), dtype=kind), lengths)  # run of each row
         self.run_key = grouped * len(starts) + by_head  # runs by symbol, then by row
         self.by_head = by_head
         opens = np.ones(len(order), bool)
         for begin in range(1, len(order), ROWS):
             here = order[begin - 1:begin + ROWS]
             opens[begin:begin + ROWS] = self.common(here[1:], here[:-1], np.full(len(here) - 1, depth)) < depth
-        self.classes = np.flatnonzero(opens)  # rows that agree in ``depth`` bytes
-        self.smallest = np.minimum.reduceat(owners[segment[order]], self.classes)
+        self.class_of = np.cumsum(opens, dtype=kind) - kind(1)  # rows that agree in ``depth`` bytes
+        self.smallest = np.minimum.reduceat(owners[segment[order]], np.flatnonzero(opens))
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at ``a`` and ``b`` within their segments, at most ``most``."""
@@ -124,17 +156,17 @@ class RunIndex:
 
         ``patterns`` has a row per pattern, aligned at the right; rows are sorted by length, longest first.
         """
-        width, runs = patterns.shape[1], len(self.starts)
+        width, runs, columns = patterns.shape[1], len(self.starts), np.ascontiguousarray(patterns.T)
         row, at, match = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.at_first[0]), np.zeros(len(patterns), np.int64)
         for place in range(width - 1, -1, -1):
             lanes = int(np.searchsorted(-lengths, place - width, "right"))  # lengths >= width - place
-            symbol = patterns[:lanes, place].astype(np.int64)
-            run = np.searchsorted(self.starts, row[:lanes], "right") - 1
+            symbol = columns[place, :lanes].astype(np.int64)
+            run = self.run_of[row[:lanes]]
             stay = self.heads[run] == symbol
             go = np.flatnonzero(~stay)
             if len(go):
                 wanted, here, have = symbol[go], at[go], match[go]
-                slot = np.searchsorted(self.run_key, wanted * runs + run[go])
+                slot = np.searchsorted(self.run_key, wanted * runs + run[go].astype(np.int64))
                 up, down = np.maximum(slot - 1, 0), np.minimum(slot, runs - 1)
                 up, down = self.by_head[up], self.by_head[down]
                 has_up, has_down = (slot > 0) & (self.heads[up] == wanted), (slot < runs) & (self.heads[down] == wanted)
@@ -156,4 +188,4 @@ class RunIndex:
 
     def smallest_owner(self, rows: np.ndarray) -> np.ndarray:
         """Smallest owner of the ``depth`` bytes that a full match at each row stands for."""
-        return self.smallest[np.searchsorted(self.classes, rows, "right") - 1]
+        return self.smallest[self.class_of[rows]]
